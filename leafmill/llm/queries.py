@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import conversations, mixing, neardup, splitting, tokens
+from . import conversations, mixing, neardup, scans, spam, splitting, tokens
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,6 +25,20 @@ def p3_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.conversations(table(spark, sf, "session_log"), table(spark, sf, "turn_segments"))
 
 
+def scanned_records(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = table(spark, sf, "chunks").select(F.lit("chunk").alias("record_type"), F.col("chunk_id").alias("id"), "paper_id", "text", F.col("indexed_at").alias("at"))
+    sections = table(spark, sf, "sections").select(F.lit("section").alias("record_type"), F.col("section_id").alias("id"), "paper_id", "text", F.lit(None).cast("timestamp").alias("at"))
+    return chunks.unionByName(sections)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.traced(scanned_records(spark, sf)).select("record_type", F.col("id").alias("record_id"))
+
+
+def p4_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.repaired(scanned_records(spark, sf)).withColumnRenamed("id", "record_id")
+
+
 def near_records(spark: SparkSession, sf: str) -> DataFrame:
     chunks = table(spark, sf, "chunks").select(F.lit(0).alias("kind"), F.col("chunk_id").alias("id"), "text")
     claims = table(spark, sf, "contributions").select(F.lit(1).alias("kind"), F.col("contribution_id").alias("id"), F.col("claim").alias("text"))
@@ -76,9 +90,17 @@ def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return _mixture(spark, sf).select()
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spam.stuffed(table(spark, sf, "documents"))
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return spam.shares(table(spark, sf, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_pieces, p3_found, p3_conversations, p5_found, p5_groups, p6_ids, p7_found, p7_shares, p7_mixture)
+    for f in (p2_found, p2_pieces, p3_found, p3_conversations, p4_found, p4_repaired, p5_found, p5_groups, p6_ids, p7_found, p7_shares, p7_mixture, p8_found, p8_shares)
 }
 
 SQL = {
