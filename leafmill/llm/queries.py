@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import conversations, mixing, neardup, scans, spam, splitting, tokens
+from . import conversations, mixing, names, neardup, scans, spam, splitting, tokens
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.linked(names.entities(table(spark, sf, "papers")))
+
+
+def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return names.entities(table(spark, sf, "papers"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +108,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_pieces, p3_found, p3_conversations, p4_found, p4_repaired, p5_found, p5_groups, p6_ids, p7_found, p7_shares, p7_mixture, p8_found, p8_shares)
+    for f in (p1_found, p1_entities, p2_found, p2_pieces, p3_found, p3_conversations, p4_found, p4_repaired, p5_found, p5_groups, p6_ids, p7_found, p7_shares, p7_mixture, p8_found, p8_shares)
 }
 
 SQL = {
