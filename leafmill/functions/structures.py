@@ -1,0 +1,242 @@
+"""JSON, map and array functions (JSN, MAP, ARR, PRJ): built-ins where they reach, Arrow UDFs for folds and recursion."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+REDACTED = "[REDACTED]"
+
+
+def strict_field(c: Column, path: str, kind: str, default) -> Column:
+    """A field of a JSON text if it has the wanted type, else the default (PRJ4). kind: string, bigint, double or boolean.
+
+    A number in a text is no number: the type is looked at, nothing is cast.
+    """
+    v = F.try_parse_json(c)
+    names = {"string": ["STRING"], "bigint": ["BIGINT"], "double": ["DOUBLE", "BIGINT"], "boolean": ["BOOLEAN"]}[kind]
+    found = F.try_variant_get(v, path, "variant")
+    type_ = F.regexp_replace(F.schema_of_variant(found), r"^DECIMAL.*", "DOUBLE")
+    return F.when(type_.isin(names), F.try_variant_get(v, path, kind)).otherwise(F.lit(default))
+
+
+def dropped_nulls(c: Column) -> Column:
+    """A struct as JSON without null fields (PRJ2)."""
+    return F.to_json(c)
+
+
+def label(*columns: Column) -> Column:
+    """The first that is neither null nor empty (PRJ6)."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
+
+
+def merge_patch(old, new):
+    """The patch that turns old into new: None for none; removed keys become null (JSN1)."""
+    if old == new and type(old) is type(new):
+        return None
+    if not isinstance(old, dict) or not isinstance(new, dict):
+        return new
+    patch = {k: None for k in old if k not in new}
+    for k, v in new.items():
+        if k not in old:
+            patch[k] = v
+        elif old[k] != v or type(old[k]) is not type(v):
+            patch[k] = merge_patch(old[k], v)
+    return patch
+
+
+def apply_patch(target, patch):
+    """RFC 7386 (JSN2)."""
+    if not isinstance(patch, dict):
+        return patch
+    out = dict(target) if isinstance(target, dict) else {}
+    for k, v in patch.items():
+        if v is None:
+            out.pop(k, None)
+        else:
+            out[k] = apply_patch(out.get(k), v)
+    return out
+
+
+def without_nulls(value):
+    """Without null fields of objects; nulls in lists stay (JSN3)."""
+    if isinstance(value, dict):
+        return {k: without_nulls(v) for k, v in value.items() if v is not None}
+    return [without_nulls(v) for v in value] if isinstance(value, list) else value
+
+
+def canonical(value, ascii_only: bool = False) -> str:
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=ascii_only)
+
+
+def _json_udf(f):
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t):
+            if t is None:
+                return None
+            try:
+                return f(json.loads(t))
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return run
+
+
+canonical_json = _json_udf(canonical)
+canonical_sha_ascii = _json_udf(lambda v: hashlib.sha256(canonical(v, True).encode()).hexdigest())
+no_null_fields = _json_udf(lambda v: canonical(without_nulls(v)))
+
+
+@F.pandas_udf(T.StringType())
+def patch_between(old: pd.Series, new: pd.Series) -> pd.Series:
+    """Merge patch of two JSON texts; null if they are equal."""
+    out = []
+    for a, b in zip(old, new):
+        p = None if b is None else json.loads(b) if a is None else merge_patch(json.loads(a), json.loads(b))
+        out.append(None if p is None else canonical(p))
+    return pd.Series(out)
+
+
+def folded_state(df: DataFrame, key: str, order: str, mode: str, state: str) -> DataFrame:
+    """State of each key after all its rows (STM3): `full` resets, `patch` applies once there was a full one.
+
+    An ordered fold over sorted partitions: one state is held at a time.
+    """
+
+    def run(batches):
+        last, now, seen, ready = None, None, False, False
+        for batch in batches:
+            rows = []
+            for k, m, s in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                if seen and k != last:
+                    if ready:
+                        rows.append((last, canonical(now)))
+                    now, ready = None, False
+                last, seen = k, True
+                if m == "full":
+                    now, ready = json.loads(s), True
+                elif ready and s is not None:
+                    now = apply_patch(now, json.loads(s))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["key", "state"])
+        if seen and ready:
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.string()), pa.array([canonical(now)], pa.string())], names=["key", "state"])
+
+    rows = df.repartition(key).sortWithinPartitions(key, order).select(F.col(key).cast("string"), mode, state)
+    return rows.mapInArrow(run, "key string, state string").withColumnRenamed("key", key)
+
+
+def sanitized(value, depth: int = 0, keys: int = 100, items: int = 50, chars: int = 2000, deep: int = 8):
+    """A payload with secrets, depth, width and long texts bounded (JSN5)."""
+    if depth >= deep and isinstance(value, (dict, list)):
+        return {"_trace_truncated": "depth"}
+    if isinstance(value, dict):
+        out = {}
+        for n, (k, v) in enumerate(value.items()):
+            if n >= keys:
+                out["_trace_omitted_keys"] = len(value) - keys
+                break
+            out[k] = REDACTED if _secret_name(k) else sanitized(v, depth + 1, keys, items, chars, deep)
+        return out
+    if isinstance(value, list):
+        out = [sanitized(v, depth + 1, keys, items, chars, deep) for v in value[:items]]
+        return out + [{"_trace_omitted_items": len(value) - items}] if len(value) > items else out
+    if isinstance(value, str):
+        return value if len(value) <= chars else {"preview": value[:chars], "length": len(value), "sha256": hashlib.sha256(value.encode()).hexdigest()}
+    return value
+
+
+def _secret_name(key: str) -> bool:
+    name = "".join(c if c.isascii() and c.isalnum() else "_" for c in key.lower()).strip("_")
+    return name in {"api_key", "apikey", "authorization", "cookie", "password", "passwd", "secret", "token", "access_token", "refresh_token"} or name.endswith(("_api_key", "_password", "_secret", "_token"))
+
+
+sanitized_payload = _json_udf(lambda v: canonical(sanitized(v)))
+
+
+def shape(value):
+    """Types and lengths only (JSN12)."""
+    if isinstance(value, dict):
+        return {k: shape(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return {"list": len(value), "items": [shape(v) for v in value[:1]]}
+    return {"str": len(value)} if isinstance(value, str) else type(value).__name__
+
+
+content_shape = _json_udf(lambda v: canonical(shape(v)))
+
+
+def inlined_refs(schema, root=None, depth: int = 0):
+    """A JSON schema with local references put in place; keys beside a reference override it (JSN4)."""
+    root = schema if root is None else root
+    if depth > 20:
+        raise ValueError("references are nested too deeply")
+    if isinstance(schema, list):
+        return [inlined_refs(x, root, depth) for x in schema]
+    if not isinstance(schema, dict):
+        return schema
+    ref = schema.get("$ref")
+    if ref is not None:
+        if not ref.startswith("#/"):
+            raise ValueError(f"not a local reference: {ref}")
+        target = root
+        for part in ref[2:].split("/"):
+            target = target[part.replace("~1", "/").replace("~0", "~")]
+        return inlined_refs(target, root, depth + 1) | {k: inlined_refs(v, root, depth) for k, v in schema.items() if k != "$ref"}
+    return {k: inlined_refs(v, root, depth) for k, v in schema.items() if k not in ("$defs", "definitions")}
+
+
+def prefixed_keys(c: Column, prefix: str) -> Column:
+    return F.transform_keys(c, lambda k, _: F.concat(F.lit(prefix + "."), k))
+
+
+def joined_maps(*maps: Column) -> Column:
+    """The later map wins (JSN6); needs mapKeyDedupPolicy LAST_WIN, which sessions set."""
+    return F.map_concat(*maps)
+
+
+def tombstone_sha(c: Column) -> Column:
+    """The hash that a removed payload left behind, null for others (JSN8)."""
+    v = F.try_parse_json(c)
+    return F.when(F.try_variant_get(v, "$._trace_value", "string") == "expired", F.try_variant_get(v, "$.sha256", "string"))
+
+
+def assembled_calls(deltas: DataFrame, key: list[str]) -> DataFrame:
+    """Tool calls from streamed parts (JSN10): deltas has index, pos, name, arguments."""
+    text = lambda c: F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c]))
+    return deltas.groupBy(*key, "index").agg(text("name").alias("name"), text("arguments").alias("arguments"))
+
+
+def unique_mapping(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Keys with exactly one value (MAP3)."""
+    return df.groupBy(key).agg(F.count_distinct(value).alias("_n"), F.min(value).alias(value)).filter("_n = 1").drop("_n")
+
+
+def expanded_cmap(maps: DataFrame, ident: str, text: str) -> DataFrame:
+    """Code to Unicode pairs of character maps (MAP1): single pairs and ranges; maps with a contradiction give none."""
+    number = lambda c: F.conv(c, 16, 10).cast("bigint")
+    section = lambda kind: F.explode(F.regexp_extract_all(F.col(text), F.lit(rf"(?s)begin{kind}(.*?)end{kind}"), F.lit(1)))
+    chars = maps.select(ident, section("bfchar").alias("_s")).select(ident, F.explode(F.regexp_extract_all("_s", F.lit(r"<[0-9A-Fa-f]+>\s*<[0-9A-Fa-f]+>"), F.lit(0))).alias("_p"))
+    pair = chars.select(ident, number(F.regexp_extract("_p", "<([0-9A-Fa-f]+)>", 1)).alias("code"), number(F.regexp_extract("_p", r">\s*<([0-9A-Fa-f]+)>", 1)).alias("unicode"))
+    ranges = maps.select(ident, section("bfrange").alias("_s")).select(ident, F.explode(F.regexp_extract_all("_s", F.lit(r"<[0-9A-Fa-f]+>\s*<[0-9A-Fa-f]+>\s*<[0-9A-Fa-f]+>"), F.lit(0))).alias("_p"))
+    ends = ranges.select(ident, *[number(F.regexp_extract("_p", r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", k)).alias(n) for k, n in ((1, "lo"), (2, "hi"), (3, "first"))])
+    spread = ends.filter("hi >= lo and hi - lo < 65536").select(ident, "lo", "first", F.explode(F.sequence("lo", "hi")).alias("code")).select(ident, "code", (F.col("first") + F.col("code") - F.col("lo")).alias("unicode"))
+    all_ = pair.unionByName(spread).distinct()
+    clash = all_.groupBy(ident, "code").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(ident).distinct()
+    return all_.join(clash, ident, "left_anti")
+
+
+def upserted(df: DataFrame, key: list[Column], order: list[str]) -> DataFrame:
+    """The latest row of each key (ARR2)."""
+    names = [f"_k{i}" for i in range(len(key))]
+    keyed = df.withColumns(dict(zip(names, key)))
+    rows = F.struct(*df.columns)
+    return keyed.groupBy(*names).agg(F.max_by(rows, F.struct(*order)).alias("_r")).select("_r.*")
