@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -53,15 +53,16 @@ def near_records(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.unionByName(claims)
 
 
-RECORD_TYPE = F.when(F.col("kind") == 0, "chunk").otherwise("claim").alias("record_type")
+def record_type() -> Column:
+    return F.when(F.col("kind") == 0, "chunk").otherwise("claim").alias("record_type")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return neardup.pairs(*neardup.classes_and_links(near_records(spark, sf))).select(RECORD_TYPE, "id_a", "id_b")
+    return neardup.pairs(*neardup.classes_and_links(near_records(spark, sf))).select(record_type(), "id_a", "id_b")
 
 
 def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return neardup.groups(*neardup.classes_and_links(near_records(spark, sf))).select(RECORD_TYPE, "id", "group_id", "links")
+    return neardup.groups(*neardup.classes_and_links(near_records(spark, sf))).select(record_type(), "id", "group_id", "links")
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
