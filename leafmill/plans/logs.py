@@ -342,9 +342,12 @@ def stm9_deliveries(spark, sf):
 def stm2_stream_once(spark, sf):
     """The events as a file stream, each once, drained into a table."""
     from tempfile import mkdtemp
+    from uuid import uuid4
 
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("at", F.col("ts").cast("timestamp"))
     rows = tails.once(stream, ["event_id"], "at").select("event_id", "user_id", "event_type")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + mkdtemp(prefix="leafmill-stream-")
-    return tails.drained(rows, f"stm2_{abs(hash((sf, id(stream))))}", f"{folder}/stream-{abs(hash((sf, id(stream))))}")
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir() or "file://" + mkdtemp(prefix="leafmill-")
+    name = f"events_once_{uuid4().hex}"
+    return tails.drained(rows, name, f"{folder}/{name}")
