@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import conversations, mixing, names, neardup, scans, spam, splitting, tokens
+from . import conversations, mixing, names, neardup, scans, spam, splitting, storage, tokens
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,8 +69,10 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(table(spark, sf, "documents"), tokens.ranks(spark))
 
 
-def _mixture(spark: SparkSession, sf: str) -> mixing.Mixture:
+def _mixture(spark: SparkSession, sf: str, select: bool = False) -> mixing.Mixture:
     docs = tokens.count(table(spark, sf, "documents"), tokens.ranks(spark), ["doc_id", "source"]).withColumn("sources", F.array("source"))
+    if select:  # the texts are encoded once for the plan and the selection
+        docs = storage.written(docs, "token-counts")
     return mixing.mix(spark, docs, table(spark, sf, "mix_targets"))
 
 
@@ -81,7 +83,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Target and reached share of each source: of the wanted total and of the tokens really selected."""
-    mixture = _mixture(spark, sf)
+    mixture = _mixture(spark, sf, select=True)
     used = mixture.select().groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"), F.count(F.lit(1)).alias("records"), F.max("copies").alias("most_copies"))
     rows = mixture.report.join(used, "source", "left").na.fill(0, ["used", "records", "most_copies"])
     return _shares(rows, mixture.total)
@@ -96,7 +98,7 @@ def _shares(rows: DataFrame, total: int) -> DataFrame:
 
 
 def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    return _mixture(spark, sf).select()
+    return _mixture(spark, sf, select=True).select()
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
