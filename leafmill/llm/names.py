@@ -6,7 +6,7 @@ their use in all names, above all in those with a comma.  An initial with a surn
 entity.
 
 Signatures that differ by typing errors are found by suffix blocking: the suffixes of the surname down to `SUFFIX` letters,
-and the surname without its last one or two letters, are indexed together with the initial (the suffixes of the given
+and the surname without its last one to three letters, are indexed together with the initial (the suffixes of the given
 name together with the first letters of the surname).  A block of more than `COMMON` signatures is refined by the first
 letter and then the length of the name, and is left out only if it is still larger.  Pairs of a block are compared by
 the ratio of their longest common subsequence and an edit distance.  Connected signatures are one entity.
@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from .components import components
 from .storage import written
 
-SUFFIX, COMMON, RATIO = 3, 200, 0.8
+SUFFIX, COMMON, RATIO = 2, 200, 0.8
 
 # Short forms whose first letter differs from the formal name's, plainly listed.
 FORMAL = dict(
     pair.split(":")
     for pair in """
     pepe:jose chepe:jose vanni:giovanni nanni:giovanni gianni:giovanni hans:johannes jan:johannes beppe:giuseppe peppe:giuseppe fritz:friedrich fred:frederick
-    rick:frederick katya:ekaterina katja:ekaterina misha:mikhail mischa:mikhail paco:francisco pancho:francisco curro:francisco becky:rebecca trish:patricia tricia:patricia
+    rick:frederick katya:ekaterina katja:ekaterina misha:mikhail mischa:mikhail paco:francisco pancho:francisco curro:francisco becky:rebecca becca:rebecca trish:patricia tricia:patricia
     liz:elizabeth beth:elizabeth betty:elizabeth lisa:elizabeth bess:elizabeth libby:elizabeth bill:william billy:william ted:theodore ned:edward teddy:theodore memo:guillermo
     kostya:konstantin nastya:anastasia stasia:anastasia vova:vladimir volodya:vladimir sasha:alexander sascha:alexander xander:alexander larry:lawrence lars:lars chuck:charles
     bob:robert bobby:robert dick:richard hank:henry harry:henry jack:john kathy:katherine kate:katherine kitty:katherine peggy:margaret meg:margaret greta:margaret
@@ -47,7 +47,7 @@ FORMAL = dict(
     quique:enrique kike:enrique chuy:jesus lalo:eduardo beto:alberto neto:ernesto goyo:gregorio tito:ernesto yago:santiago
     """.split()
 )
-PARTICLES = frozenset("van von der den de del della di da dos du la le les al el bin ibn ter ten zu zum zur und y af av".split())
+PARTICLES = frozenset("van von der den de del della di da dos du la le les al el bin ibn ter ten zu zum zur und af av".split())
 TITLES = frozenset("dr prof professor mr mrs ms sir dipl ing phd msc bsc md mag".split())
 SUFFIXES = frozenset("jr sr ii iii iv phd md ed eds hrsg".split())
 #: Words of the names of groups, and what their short forms stand for.
@@ -136,8 +136,10 @@ def parse(raw: str) -> dict | None:
         surname, given = comma[0], [w for w in comma[1] if w not in SUFFIXES]
         surname = [w for w in surname if w not in PARTICLES and w not in TITLES] or surname
         return {"initial": "", "surname": surname[-1], "given": given[0] if given else "", "comma": True}
-    words = comma[0] if comma else []
-    bare = re.findall(r"[^\W\d_]+\.?", text)
+    # a hyphen joins the parts of one name; an article before it is none
+    joined = re.sub(r"\b(?:al|el)-+(?=\w)", "", re.sub(r"-+", "-", text.split(",")[0] if comma else ""), flags=re.I)
+    bare = [w for w in re.findall(r"(?:[^\W\d_]|['’ʼ-])+\.?", joined) if re.search(r"[^\W\d_]", w)]
+    words = [re.sub(r"[^\w]", "", fold(w)) for w in bare]
     while len(words) > 1 and words[0] in TITLES:
         words, bare = words[1:], bare[1:]
     while len(words) > 1 and words[-1] in SUFFIXES:
@@ -147,7 +149,10 @@ def parse(raw: str) -> dict | None:
     if len(words) == 1:
         return {"initial": "", "surname": words[0], "given": ""}
     last = bare[-1] if bare else ""
-    if words[0] in PARTICLES or (len(words[-1]) <= 3 and last.isupper() and not "".join(bare).isupper()):
+    if len(words[-1]) <= 3 and last.replace("-", "").isupper() and not "".join(bare[:-1]).isupper():
+        names = [w for w in words[:-1] if w not in PARTICLES] or words[:-1]
+        return {"initial": "", "surname": names[-1], "given": words[-1]}
+    if words[0] in PARTICLES:
         names = [w for w in words if w not in PARTICLES]
         if len(names) > 1:
             # surname first: all after it is given
@@ -201,7 +206,7 @@ def _blocks(sigs: DataFrame) -> DataFrame:
             out = []
             for i, initial, surname, given in zip(*[c.to_pylist() for c in batch.columns]):
                 keys = {f"{initial}|{surname[k:]}" for k in range(0, max(1, len(surname) - SUFFIX + 1))}
-                keys |= {f"{initial}|{surname[:-k]}" for k in (1, 2) if len(surname) - k >= SUFFIX}
+                keys |= {f"{initial}|{surname[:-k]}" for k in (1, 2, 3) if len(surname) - k >= 3}
                 if len(given) > 2 and not initial.startswith("#"):
                     keys |= {f"{given[k:]}>{surname[:3]}" for k in range(0, max(1, len(given) - 2))}
                     keys |= {f"{surname}>{given[-2:]}"}
