@@ -49,7 +49,7 @@ FORMAL = dict(
 )
 PARTICLES = frozenset("van von der den de del della di da dos du la le les al el bin ibn ter ten zu zum zur und af av".split())
 TITLES = frozenset("dr prof professor mr mrs ms sir dipl ing phd msc bsc md mag".split())
-SUFFIXES = frozenset("jr sr ii iii iv phd md ed eds hrsg".split())
+SUFFIXES = frozenset("jr sr ii iii iv phd md".split())
 #: Words of the names of groups, and what their short forms stand for.
 GROUP = {
     "collaboration": "collaboration", "collab": "collaboration", "institute": "institute", "institut": "institute", "inst": "institute", "university": "university", "univ": "university", "universitat": "university",
@@ -126,6 +126,7 @@ def parse(raw: str) -> dict | None:
     text = unicodedata.normalize("NFKC", raw)
     text = re.sub(r"[‐‑‒–—−]", "-", text)
     text = _MARKS.sub(" ", text)
+    text = re.sub(r"(?<=[^\W\d_A-Z])(?=(?:Collab|Institut|Universit|Library|Group|Consortium)[a-z]*)", " ", text)
     plain = fold(text)
     words = re.findall(r"[^\W\d_]+", plain)
     group = group_signature(words)
@@ -142,7 +143,7 @@ def parse(raw: str) -> dict | None:
     words = [re.sub(r"[^\w]", "", fold(w)) for w in bare]
     while len(words) > 1 and words[0] in TITLES:
         words, bare = words[1:], bare[1:]
-    while len(words) > 1 and words[-1] in SUFFIXES:
+    while len(words) > 1 and words[-1] in SUFFIXES and (len(words) > 2 or not bare[-1].isupper()):
         words, bare = words[:-1], bare[:-1]
     if not words:
         return None
