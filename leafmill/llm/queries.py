@@ -116,4 +116,24 @@ QUERIES = {
 
 SQL = {
     "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 2400",
+    "p3_found": r"""WITH RECURSIVE e AS (
+ SELECT session_id, id, arg_max(struct_pack(parent := parent_id, type := type, role := role, turn := turn_id, seen := coalesce(regexp_matches(text, '[\p{L}\p{N}\p{P}\p{S}]'), false)), received_at) AS v
+ FROM session_log WHERE session_id IS NOT NULL GROUP BY 1, 2),
+f AS (SELECT session_id, id, v.parent AS parent, v.type AS type, v.role AS role, v.turn AS turn, v.seen AS seen FROM e),
+kids AS (SELECT session_id, max(n) AS most FROM (SELECT session_id, parent, count(*) AS n FROM f WHERE parent IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+chain AS (SELECT session_id, id, 0 AS pos FROM f WHERE type = 'session_header' AND parent IS NULL UNION ALL SELECT f.session_id, f.id, pos + 1 FROM chain JOIN f ON f.session_id = chain.session_id AND f.parent = chain.id),
+whole AS (SELECT f.session_id, count(*) = (SELECT count(*) FROM chain c WHERE c.session_id = f.session_id) AND count(*) FILTER (type = 'session_header') = 1 AND count(*) FILTER (parent IS NULL) = 1 AND coalesce(max(most), 1) = 1 AS ok,
+ count(*) FILTER (type = 'message' AND role = 'user' AND seen) AS asked FROM f LEFT JOIN kids USING (session_id) GROUP BY 1),
+o AS (SELECT f.*, pos, sum(CAST(type = 'turn_started' AS INT)) OVER (PARTITION BY f.session_id ORDER BY pos) AS seg FROM f JOIN chain USING (session_id, id) JOIN whole ON whole.session_id = f.session_id AND ok),
+opened AS (SELECT session_id, seg, turn AS t FROM o WHERE type = 'turn_started'),
+ended AS (SELECT o.session_id, o.seg, t, min(pos) AS e FROM o JOIN opened USING (session_id, seg) WHERE type = 'turn_completed' AND turn = t GROUP BY 1, 2, 3),
+good AS (SELECT DISTINCT o.session_id, t FROM o JOIN ended USING (session_id, seg) WHERE pos < e AND type = 'message' AND role = 'assistant' AND seen),
+lacking AS (SELECT DISTINCT o.session_id FROM o WHERE type IN ('turn_started', 'turn_completed', 'turn_aborted') AND turn IS NOT NULL AND NOT EXISTS (SELECT 1 FROM good g WHERE g.session_id = o.session_id AND g.t = o.turn))
+SELECT session_id, CASE WHEN NOT ok THEN 'broken' WHEN asked = 0 THEN 'empty' ELSE 'no_reply' END AS reason FROM whole WHERE NOT ok OR asked = 0 OR session_id IN (SELECT session_id FROM lacking)""",
+    "p5_found": r"""WITH r AS (SELECT DISTINCT 'chunk' AS record_type, chunk_id AS id, text FROM chunks UNION ALL SELECT 'claim', contribution_id, claim FROM contributions),
+w AS (SELECT record_type, id, regexp_extract_all(regexp_replace(lower(text), '([\x{4E00}-\x{9FFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS w FROM r WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT record_type, id, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS s FROM w, unnest(generate_series(1, len(w) - 2)) t(k)),
+n AS (SELECT record_type, id, count(*) AS n FROM s GROUP BY 1, 2),
+p AS (SELECT a.record_type, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.record_type = b.record_type AND a.s = b.s AND a.id < b.id GROUP BY 1, 2, 3)
+SELECT p.record_type, id_a, id_b FROM p JOIN n x ON x.record_type = p.record_type AND x.id = id_a JOIN n y ON y.record_type = p.record_type AND y.id = id_b WHERE 3 * c >= x.n + y.n""",
 }
