@@ -8,13 +8,14 @@ two embeddings is a lower bound of the number of differing bits, and a similarit
 of the bits of both records to differ, so a pair beyond that bound cannot be a link.
 
 At this threshold the embedding alone does not separate records well enough for a grid over the whole space: a cell
-would have to be so wide that it holds most of the records.  The grid is therefore one of content: twelve axes, on each
-of which a record lies in the cell of its least triple under a random order in which triples that are common in the
-corpus come late.  Records that share no cell are not compared; with a similarity of one half a pair shares none of the
-twelve with a probability of about 0.0002.  A cell whose triple is common is subdivided by further triples.  How common
-a triple is comes from a count sketch of fixed size over all records.  Records of mostly common triples, as in a large
-family of edited copies, get further cells of several triples each.  Pairs that meet in a cell pass the Manhattan bound
-and are then verified exactly on their whole sets; so are, after that, the pairs that share a near-duplicate.
+would have to be so wide that it holds most of the records.  The candidates come from the content instead, by an exact
+prefix filter.  All triples have one order, rare ones first; how common a triple is comes from a count sketch of fixed
+size over all records, and any order is right, a good one only saves work.  With n triples of which the pair shares at
+least a third of both sizes together, the first shared triple stands in the first half of the longer record and in the
+first third of the shorter one.  So a record lies in the cell of every triple of its first half, and two records of a cell
+are a candidate if what follows that triple in either of them is still long enough.  A triple of one record alone needs no
+cell; a cell of very many records is compared in pieces, every piece with every other one.  No pair is left out.
+Candidates pass the Manhattan bound and are then verified exactly on their whole sets.
 
 Records with equal sets are one class; one representative of the class is compared, the members are joined to its links
 at the end.
@@ -36,14 +37,15 @@ from pyspark.sql import functions as F
 from .components import components
 from .storage import written
 
-AXES, SEGMENTS, WIDTH, RARE, COMMON, DEPTH = 12, 128, 1 << 22, 8.0, 20, 4
-#: Share of common triples from which a record may belong to a large family, and how many triples make its further cells.
-FAMILY, FAMILY_DEPTH = 0.7, 5
+SEGMENTS, WIDTH = 128, 1 << 22
+#: A cell of more records than this by the sketch is compared in pieces of about so many.
+HOT = 8192
 #: Rows up to which a side is broadcast, after counting it.
 BROADCAST = 1_000_000
 WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
 _LOW = np.uint64((1 << 50) - 1)
 _BLOCKS = 64
+_CELL, _ONE = np.uint64((1 << 52) - 1), np.uint64(8)  # 8: a count of one as the sketch packs it
 
 
 class _Hashes(dict):
@@ -131,21 +133,14 @@ def sketch(records: DataFrame) -> bytes:
 
 
 def fingerprints(records: DataFrame, counted) -> DataFrame:
-    """record_type, id, n, class_hash, cells (AXES values), counts (bit counts of the segments up to three, two bits each)."""
-    hot = {}
-    rare, often = RARE, COMMON
-
-    def weights():
-        if not hot:
-            n = _counts(counted.value)
-            mean = n.mean()
-            over = np.maximum(0.0, n - mean - 2 * np.sqrt(mean) - 1)
-            hot["inverse"] = (1 + over / rare).astype(np.float32)
-            hot["common"] = over > often
-        return hot["inverse"], hot["common"]
+    """kind, id, n, class_hash, skipped, cells, counts (bit counts of the segments up to three, two bits each).
+
+    cells: the triples of the first half of a record, in their order over the corpus, without the `skipped` first ones
+    that no other record has. A cell is kind (from bit 52), how common (from bit 44) and 44 bits of the triple's hash.
+    """
 
     def run(batches):
-        inverse, common = weights()
+        common = np.frombuffer(counted.value, np.uint8)
         for batch in batches:
             for part in _parts(batch):
                 low, sizes = triples(part.column(2).to_pylist())
@@ -155,78 +150,99 @@ def fingerprints(records: DataFrame, counted) -> DataFrame:
                 n = sizes[keep]
                 starts = np.concatenate([[0], np.cumsum(n)[:-1]])
                 owner = np.repeat(np.arange(len(keep)), n)
-                at = (low % np.uint64(WIDTH)).astype(np.int64)
-                heavy, usual = inverse[at], common[at]
                 kind = np.array(part.column(0).to_pylist())[keep].astype(np.uint64)
-                cells = np.empty((len(keep), AXES), np.uint64)
-                for axis in range(AXES):
-                    value, at_hot = _least(low, heavy, usual, starts, n, axis)
-                    cell = _mix(value ^ (kind << np.uint64(56)), 1000 + axis)
-                    for depth in range(1, DEPTH):
-                        rows = np.flatnonzero(at_hot)
-                        if not len(rows):
-                            break
-                        inner = _inside(owner, rows, len(keep))
-                        inner_n = n[rows]
-                        inner_starts = np.concatenate([[0], np.cumsum(inner_n)[:-1]])
-                        more, still = _least(low[inner], heavy[inner], usual[inner], inner_starts, inner_n, axis + AXES * depth)
-                        cell[rows] = _mix(cell[rows] + more, depth)
-                        at_hot[rows] = still
-                    cells[:, axis] = cell
+                usual = common[(low % np.uint64(WIDTH)).astype(np.int64)].astype(np.uint64)
+                # triples of equal 44 bits count as one that occurs twice, which leaves the filter exact
+                order = (owner.astype(np.uint64) << np.uint64(52)) | (usual << np.uint64(44)) | (low >> np.uint64(6))
+                order.sort()
+                place = np.arange(len(low)) - np.repeat(starts, n)
+                alone = ((order >> np.uint64(44)) & np.uint64(255)) <= _ONE
+                chosen = np.flatnonzero((place <= np.repeat(n // 2, n)) & ~alone)
+                cells = (order[chosen] & _CELL) | (kind[owner[chosen]] << np.uint64(52))
+                lengths = np.bincount(owner[chosen], minlength=len(keep))
                 whole = np.add.reduceat(_mix(low, 77), starts)
                 segment = np.bincount(owner * SEGMENTS + (_mix(low, 99) % np.uint64(SEGMENTS)).astype(np.int64), minlength=len(keep) * SEGMENTS)
                 # two bits a segment; cutting a count off at three keeps the distance a lower bound
                 few = np.minimum(3, segment.reshape(len(keep), SEGMENTS)).astype(np.uint8)
                 packed = (few[:, ::4] << 6) | (few[:, 1::4] << 4) | (few[:, 2::4] << 2) | few[:, 3::4]
-                # records of mostly common triples: cells of several triples under plain random orders, too
-                many = np.flatnonzero(np.add.reduceat(usual.astype(np.int64), starts) >= FAMILY * n)
-                lengths = np.full(len(keep), AXES)
-                flat = cells.reshape(-1)
-                if len(many):
-                    inner, inner_n = _inside(owner, many, len(keep)), n[many]
-                    inner_starts = np.concatenate([[0], np.cumsum(inner_n)[:-1]])
-                    part_low, even = low[inner], np.ones(len(inner), np.float32)
-                    more = np.empty((len(many), AXES), np.uint64)
-                    for axis in range(AXES):
-                        cell = _mix(kind[many], 5000 + axis)
-                        for depth in range(FAMILY_DEPTH):
-                            value, _ = _least(part_low, even, usual[inner], inner_starts, inner_n, 7000 + axis * FAMILY_DEPTH + depth)
-                            cell = _mix(cell + value, depth + 1)
-                        more[:, axis] = cell
-                    lengths[many] += AXES
-                    both = np.zeros((len(keep), 2 * AXES), np.uint64)
-                    both[:, :AXES], both[many, AXES:] = cells, more
-                    flat = both[np.arange(2 * AXES)[None, :] < lengths[:, None]]
                 rows = pa.array(keep)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat.view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(cells.view(np.int64)))
                 width = SEGMENTS // 4
                 offsets = pa.py_buffer((np.arange(len(keep) + 1, dtype=np.int32) * width).tobytes())
                 counts = pa.Array.from_buffers(pa.binary(), len(keep), [None, offsets, pa.py_buffer(packed.tobytes())])
+                skipped = np.add.reduceat(alone.astype(np.int32), starts).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), lists, counts],
-                    names=["kind", "id", "n", "class_hash", "cells", "counts"],
+                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(skipped), lists, counts],
+                    names=["kind", "id", "n", "class_hash", "skipped", "cells", "counts"],
                 )
 
-    return records.select("kind", "id", "text").mapInArrow(run, "kind int, id bigint, n int, class_hash bigint, cells array<bigint>, counts binary")
-
+    return records.select("kind", "id", "text").mapInArrow(run, "kind int, id bigint, n int, class_hash bigint, skipped int, cells array<bigint>, counts binary")
 
-def _inside(owner: np.ndarray, chosen: np.ndarray, size: int) -> np.ndarray:
-    """Positions whose owner is among the chosen ones."""
-    mask = np.zeros(size, bool)
-    mask[chosen] = True
-    return np.flatnonzero(mask[owner])
 
+def candidates(reps: DataFrame) -> DataFrame:
+    """a, b (a < b) of all records that may share half of their triples. reps: r, n, skipped, cells."""
+    rows = reps.select("r", "n", "skipped", F.posexplode("cells").alias("pos", "cell"))
+    rows = rows.select("cell", "r", "n", (4 * (F.col("skipped") + F.col("pos")) + 2).alias("at"))
+    # a hot cell in pieces: a record goes to the pairs of its own piece with every piece, on side 0 or 1, or 2 with itself
+    usual = F.pow(F.lit(2.0), F.shiftright("cell", 44).bitwiseAND(F.lit(255)) / 8.0)
+    pieces = F.ceil(usual / HOT).cast("int")
+    own = F.pmod(F.xxhash64("r"), F.col("pieces")).cast("int")
+    hot = rows.filter(usual > HOT).withColumn("pieces", pieces).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
+    hot = hot.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "r", "n", (F.col("at") - 2 + side).alias("at"))
+    split = rows.filter(usual <= HOT).unionByName(hot)
 
-def _least(low, heavy, usual, starts, n, salt):
-    """For each record the least triple in a weighted random order, as a value, and whether it is a common one."""
-    u = ((_mix(low, salt + 5) >> np.uint64(40)).astype(np.float32) + np.float32(1)) * np.float32(1.0 / (1 << 24))
-    order = -np.log(u) * heavy
-    least = np.minimum.reduceat(order, starts)
-    at = np.flatnonzero(order == np.repeat(least, n))
-    # of equal ones the first, in the order of the triples, which is the same in every record
-    owner = np.searchsorted(starts, at, "right")
-    at = at[np.concatenate([[True], owner[1:] != owner[:-1]])]
-    return low[at], usual[at]
+    def run(batches):
+        held, size, out, pairs = [], 0, [], 0
+        for batch in batches:
+            held.append([batch.column(i).to_numpy() for i in range(4)])
+            size += batch.num_rows
+            if size < 200_000:
+                continue
+            whole = [np.concatenate(c) for c in zip(*held)]
+            # the last cell may go on in the next batch
+            end = int(np.searchsorted(whole[0], whole[0][-1]))
+            held, size = [[c[end:] for c in whole]], len(whole[0]) - end
+            for found in _meet(*(c[:end] for c in whole)):
+                out.append(found)
+                pairs += len(found[0])
+                if pairs > 2_000_000:
+                    yield _once(out)
+                    out, pairs = [], 0
+        if held:
+            out += _meet(*(np.concatenate(c) for c in zip(*held)))
+        if out:
+            yield _once(out)
+
+    return split.repartition("cell").sortWithinPartitions("cell", "n").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _meet(cell, r, n, at):
+    """The candidates (a, b) of rows in the order of cell and n."""
+    left, side = n - (at >> 2), at & 3
+    # the shorter record of a pair still needs two thirds of its triples
+    a = np.flatnonzero(3 * left >= 2 * n)
+    step = 0
+    while True:
+        step += 1
+        a = a[: np.searchsorted(a, len(cell) - step)]
+        a = a[cell[a] == cell[a + step]]
+        a = a[2 * n[a] >= n[a + step]]
+        if not len(a):
+            return
+        b = a + step
+        good = (3 * np.minimum(left[a], left[b]) >= n[a] + n[b]) & ((side[a] != side[b]) | (side[a] == 2)) & (r[a] != r[b])
+        x, y = r[a[good]], r[b[good]]
+        if len(x):
+            yield np.minimum(x, y), np.maximum(x, y)
+
+
+def _once(out) -> pa.RecordBatch:
+    a, b = (np.concatenate(c) for c in zip(*out))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
 
 #: Kinds of records; only records of one kind are compared.
@@ -267,13 +283,8 @@ def classes_and_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     group = prints.groupBy("kind", "class_hash", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     copies = written(prints.select("kind", "class_hash", "n", "id").join(group.drop("members"), ["kind", "class_hash", "n"]).select("kind", "id", "rep").distinct(), "copies")
     others = _maybe_broadcast(written(copies.filter("id <> rep").select("kind", "id"), "others"))
-    reps = prints.join(others, ["kind", "id"], "left_anti").select(_number().alias("r"), "n", "cells", "counts")
-    # both sides of the self join are one shuffle
-    cells = reps.select(F.explode("cells").alias("cell"), "r", "n")
-    l, r = cells.alias("l"), cells.alias("r")
-    # sizes that differ by more than half of the larger rule a pair out
-    near_sizes = (F.col("l.r") < F.col("r.r")) & (2 * F.col("l.n") >= F.col("r.n")) & (2 * F.col("r.n") >= F.col("l.n"))
-    met = l.join(r, F.col("l.cell") == F.col("r.cell")).filter(near_sizes).select(F.col("l.r").alias("a"), F.col("r.r").alias("b")).distinct()
+    reps = prints.join(others, ["kind", "id"], "left_anti").select(_number().alias("r"), "n", "skipped", "cells", "counts")
+    met = candidates(reps)
     met = written(_bounded(met, reps.select("r", "n", "counts")), "met")
     wanted = written(met.select(F.explode(F.array("a", "b")).alias("r")).distinct(), "wanted")
     sets = written(_exact_sets(records.select("kind", "id", "text").withColumn("r", _number()).join(_maybe_broadcast(wanted), "r", "left_semi")), "sets")

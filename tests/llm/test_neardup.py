@@ -76,5 +76,26 @@ def test_groups(spark):
     assert {(r.kind, r.id, r.group_id) for r in N.groups(copies, links).collect()} == {(0, 1, 1), (0, 2, 1), (0, 3, 1)}
 
 
+def family(prefix, first, size, template, own):
+    """Records with a common template between words of their own: neither half of a record is common to all."""
+    base = [f"{prefix}t{i}" for i in range(template + 2)]
+    return [(0, first + k, " ".join([*base, *(f"{prefix}o{k}x{i}" for i in range(own))]), "x", "y") for k in range(size)]
+
+
+def test_families_of_mostly_common_triples(spark):
+    # shares of common triples just around two thirds, similarities of 0.517, 0.61 and (no links) 0.48
+    rows = family("a", 0, 200, 60, 28) + family("b", 1000, 200, 70, 22) + family("c", 2000, 60, 60, 32)
+    got = run(spark, rows)
+    assert len(got) == len(set(got)) and set(got) == truth(rows)
+
+
+def test_hot_cells_are_compared_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 16)
+    rows = family("a", 0, 90, 60, 28) + corpus(5, 40)
+    rows = [(k, 10_000 + i if t[0] != "a" else i, t, *rest) for k, i, t, *rest in rows]
+    got = run(spark, rows)
+    assert len(got) == len(set(got)) and set(got) == truth(rows)
+
+
 def test_empty(spark):
     assert run(spark, [])== []
