@@ -12,8 +12,9 @@ would have to be so wide that it holds most of the records.  The candidates come
 prefix filter.  All triples have one order, rare ones first; how common a triple is comes from a count sketch of fixed
 size over all records, and any order is right, a good one only saves work.  With n triples of which the pair shares at
 least a third of both sizes together, the first shared triple stands in the first half of the longer record and in the
-first third of the shorter one.  So a record lies in the cell of every triple of its first half, and two records of a cell
-are a candidate if what follows that triple in either of them is still long enough.  A triple of one record alone needs no
+first third of the shorter one; so do the first `MEETINGS` shared ones, as many places further.  So a record lies in the
+cell of every triple of its first half and those places, and two records are a candidate if they meet in so many cells
+(more of a long pair, fewer if the pair need not share so many) in which what follows in either of them is still long enough.  A triple of one record alone needs no
 cell; a cell of very many records is compared in pieces, every piece with every other one.  No pair is left out.
 Candidates pass the Manhattan bound and are then verified exactly on their whole sets.
 
@@ -40,6 +41,8 @@ from .storage import written
 SEGMENTS, WIDTH = 128, 1 << 22
 #: A cell of more records than this by the sketch is compared in pieces of about so many.
 HOT = 8192
+#: In how many cells a pair must meet: so many, or one for so many triples of both, if that is more.
+MEETINGS, LONG = 6, 96
 #: Rows up to which a side is broadcast, after counting it.
 BROADCAST = 1_000_000
 WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
@@ -135,7 +138,7 @@ def sketch(records: DataFrame) -> bytes:
 def fingerprints(records: DataFrame, counted) -> DataFrame:
     """kind, id, n, class_hash, skipped, cells, counts (bit counts of the segments up to three, two bits each).
 
-    cells: the triples of the first half of a record, in their order over the corpus, without the `skipped` first ones
+    cells: the triples of the first half of a record and those after it that meetings need, in their order over the corpus, without the `skipped` first ones
     that no other record has. A cell is kind (from bit 52), how common (from bit 44) and 44 bits of the triple's hash.
     """
 
@@ -157,7 +160,7 @@ def fingerprints(records: DataFrame, counted) -> DataFrame:
                 order.sort()
                 place = np.arange(len(low)) - np.repeat(starts, n)
                 alone = ((order >> np.uint64(44)) & np.uint64(255)) <= _ONE
-                chosen = np.flatnonzero((place <= np.repeat(n // 2, n)) & ~alone)
+                chosen = np.flatnonzero((place < np.repeat(n // 2 + np.maximum(MEETINGS, 3 * n // LONG), n)) & ~alone)
                 cells = (order[chosen] & _CELL) | (kind[owner[chosen]] << np.uint64(52))
                 lengths = np.bincount(owner[chosen], minlength=len(keep))
                 whole = np.add.reduceat(_mix(low, 77), starts)
@@ -214,14 +217,15 @@ def candidates(reps: DataFrame) -> DataFrame:
         if out:
             yield _once(out)
 
-    return split.repartition("cell").sortWithinPartitions("cell", "n").mapInArrow(run, "a bigint, b bigint").distinct()
+    met = split.repartition("cell").sortWithinPartitions("cell", "n").mapInArrow(run, "a bigint, b bigint, need int, times int")
+    return met.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("times").alias("times")).filter("times >= need").select("a", "b")
 
 
 def _meet(cell, r, n, at):
-    """The candidates (a, b) of rows in the order of cell and n."""
+    """The pairs (a, b, in how many cells they must meet) of rows in the order of cell and n."""
     left, side = n - (at >> 2), at & 3
     # the shorter record of a pair still needs two thirds of its triples
-    a = np.flatnonzero(3 * left >= 2 * n)
+    a = np.flatnonzero(3 * (left + np.maximum(MEETINGS, 3 * n // LONG) - 1) >= 2 * n)
     step = 0
     while True:
         step += 1
@@ -231,18 +235,22 @@ def _meet(cell, r, n, at):
         if not len(a):
             return
         b = a + step
-        good = (3 * np.minimum(left[a], left[b]) >= n[a] + n[b]) & ((side[a] != side[b]) | (side[a] == 2)) & (r[a] != r[b])
+        both = n[a] + n[b]
+        need = np.maximum(np.minimum(MEETINGS, (both + 2) // 3), both // LONG)
+        good = (3 * (np.minimum(left[a], left[b]) + need - 1) >= both) & ((side[a] != side[b]) | (side[a] == 2)) & (r[a] != r[b])
         x, y = r[a[good]], r[b[good]]
         if len(x):
-            yield np.minimum(x, y), np.maximum(x, y)
+            yield np.minimum(x, y), np.maximum(x, y), need[good]
 
 
 def _once(out) -> pa.RecordBatch:
-    a, b = (np.concatenate(c) for c in zip(*out))
+    """Every pair once, with how often it occurs."""
+    a, b, need = (np.concatenate(c) for c in zip(*out))
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    times = np.diff(np.append(new, len(a)))
+    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(need[order][new].astype(np.int32)), pa.array(times.astype(np.int32))], names=["a", "b", "need", "times"])
 
 
 #: Kinds of records; only records of one kind are compared.
@@ -288,14 +296,7 @@ def classes_and_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = written(_bounded(met, reps.select("r", "n", "counts")), "met")
     wanted = written(met.select(F.explode(F.array("a", "b")).alias("r")).distinct(), "wanted")
     sets = written(_exact_sets(records.select("kind", "id", "text").withColumn("r", _number()).join(_maybe_broadcast(wanted), "r", "left_semi")), "sets")
-    links = written(_verified(met, sets), "links")
-    # records that share a near-duplicate: in a large family a pair that missed each other's cells is found through it
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hub = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("hub")).select(F.col("a").alias("r"), "hub")
-    l, r = hub.alias("l"), hub.alias("r")
-    around = l.join(r, F.col("l.hub") == F.col("r.hub")).filter(F.col("l.r") < F.col("r.r")).select(F.col("l.r").alias("a"), F.col("r.r").alias("b"))
-    around = around.join(links.select("a", "b"), ["a", "b"], "left_anti")
-    found = links.unionByName(_verified(around, sets))
+    found = _verified(met, sets)
     kind = (F.col("a") % KINDS).cast("int").alias("kind")
     return copies, found.select(kind, F.floor(F.col("a") / KINDS).alias("a"), F.floor(F.col("b") / KINDS).alias("b"), "shared", (F.col("both") - F.col("shared")).alias("either"))
 

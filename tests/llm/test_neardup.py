@@ -89,6 +89,16 @@ def test_families_of_mostly_common_triples(spark):
     assert len(got) == len(set(got)) and set(got) == truth(rows)
 
 
+def test_pair_with_a_common_neighbour_that_is_no_least_one(spark):
+    # a-c and b-c are links, a is linked to 3 and b to 7, so a and b have different least neighbours
+    rows = family("a", 100, 2, 60, 28)
+    a, b = (r[2].split() for r in rows)
+    rows += [(0, 50, " ".join(a[:76] + b[-14:]), "x", "y"), (0, 3, " ".join(a + ["more"]), "x", "y"), (0, 7, " ".join(b + ["more"]), "x", "y")]
+    rows += [(0, 1000 + r[1], r[2], "x", "y") for r in family("a", 900, 60, 60, 45)]
+    got = run(spark, rows)
+    assert (0, 100, 101) in got and set(got) == truth(rows)
+
+
 def test_hot_cells_are_compared_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(N, "HOT", 16)
     rows = family("a", 0, 90, 60, 28) + corpus(5, 40)
