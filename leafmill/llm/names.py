@@ -5,10 +5,10 @@ marks, case and diacritics; for a group, its kind and its own name.  Which of tw
 their use in all names, above all in those with a comma.  An initial with a surname never fits two persons, so equal signatures are one
 entity.
 
-Signatures that differ by typing errors are found by suffix blocking: the suffixes of the surname down to `SUFFIX` letters,
-and the surname without its last one to three letters, are indexed together with the initial (the suffixes of the given
-name together with the first letters of the surname).  A block of more than `COMMON` signatures is refined by the first
-letter and then the length of the name, and is left out only if it is still larger.  Pairs of a block are compared by
+Signatures that differ by typing errors are found by their deletion neighbourhoods: words within an edit distance of k,
+swaps of neighbours included, are equal after at most k deletions in each.  Surnames under one initial meet there, one row
+for each however many given names it has; given names meet there under one surname, or under two that differ by two
+errors.  No block is left out.  Pairs are compared by
 the ratio of their longest common subsequence and an edit distance.  Connected signatures are one entity.
 
 Results by case: null and blank names and null or empty lists are no spellings; repeated spellings count once; a name
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .storage import written
 
-SUFFIX, COMMON, RATIO = 2, 200, 0.8
+RATIO = 0.8
 
 # Short forms whose first letter differs from the formal name's, plainly listed.
 FORMAL = dict(
@@ -199,29 +199,63 @@ def signatures(names: DataFrame) -> DataFrame:
     return out.select("name", "n", F.when(F.col("kind") != "", F.col("kind")).otherwise(F.substring("given", 1, 1)).alias("initial"), "surname", "given")
 
 
-def _blocks(sigs: DataFrame) -> DataFrame:
-    """(block, id, initial, surname, given) of the suffix index, refined where a block is large."""
+def _cut(word: str, times: int) -> set[str]:
+    """The word with up to so many letters deleted."""
+    found = now = {word}
+    for _ in range(times):
+        now = {w[:k] + w[k + 1 :] for w in now for k in range(len(w))}
+        found = found | now
+    return found
 
-    def index(batches):
+
+def _depth(initial: str, surname: str) -> int:
+    """How many errors `alike` forgives in a surname of this length at most."""
+    if initial.startswith("#"):
+        return 1 if len(surname) < 9 else 2
+    return 0 if len(surname) < 4 else 1 if len(surname) < 8 else 2
+
+
+def _typed(sigs: DataFrame) -> DataFrame:
+    """a, b of all signatures that are alike and differ in initial or surname, or links that stand for them."""
+
+    def surnames(batches):
+        for batch in batches:
+            out = [(c, i, s, f) for i, s, f in zip(*[c.to_pylist() for c in batch.columns]) for c in _cut(s, _depth(i, s))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64() if j == 3 else pa.string()) for j in range(4)], names=["cut", "initial", "surname", "first"])
+
+    def givens(batches):
+        for batch in batches:
+            out = [(c, *r) for r in zip(*[c.to_pylist() for c in batch.columns]) for c in _cut(r[3], 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64() if j == 1 else pa.string()) for j in range(5)], names=["cut", "id", "initial", "surname", "given"])
+
+    def one(batches):
+        for batch in batches:
+            rows = [r for r in zip(*[c.to_pylist() for c in batch.columns])]
+            out = [(*r, alike((r[0], r[1], ""), (r[0], r[3], ""))) for r in rows]
+            out = [r for r in out if r[5] or (near(r[1], r[3]) == 2 and not r[0].startswith("#"))]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names=["initial", "surname1", "a", "surname2", "b", "sure"])
+
+    def two(batches):
         for batch in batches:
-            out = []
-            for i, initial, surname, given in zip(*[c.to_pylist() for c in batch.columns]):
-                keys = {f"{initial}|{surname[k:]}" for k in range(0, max(1, len(surname) - SUFFIX + 1))}
-                keys |= {f"{initial}|{surname[:-k]}" for k in (1, 2, 3) if len(surname) - k >= 3}
-                if len(given) > 2 and not initial.startswith("#"):
-                    keys |= {f"{given[k:]}>{surname[:3]}" for k in range(0, max(1, len(given) - 2))}
-                    keys |= {f"{surname}>{given[-2:]}"}
-                if not initial.startswith("#"):
-                    keys.add(f"={surname}")
-                out += [(k, i, initial, surname, given) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64() if j == 1 else pa.string()) for j in range(5)], names=["block", "id", "initial", "surname", "given"])
-
-    rows = sigs.select("id", "initial", "surname", "given").mapInArrow(index, "block string, id bigint, initial string, surname string, given string")
-    for more in (F.substring("surname", 1, 1), F.length("surname").cast("string")):
-        sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > COMMON)
-        rows = rows.join(sizes, "block", "left").withColumn("block", F.when(F.col("size").isNull(), F.col("block")).otherwise(F.concat_ws("/", "block", more))).drop("size")
-    sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size").between(2, COMMON))
-    return rows.join(sizes.select("block"), "block", "left_semi")
+            c = [x.to_pylist() for x in batch.columns]
+            pairs = [((c[1][k], c[2][k], c[3][k]), (c[5][k], c[6][k], c[7][k])) for k in range(batch.num_rows)]
+            rows = pa.array([k for k, (x, y) in enumerate(pairs) if alike(x, y) or alike(y, x)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(4).take(rows)], names=["a", "b"])
+
+    distinct = sigs.filter("initial <> ''").groupBy("initial", "surname").agg(F.min("id").alias("first"))
+    cuts = written(distinct.mapInArrow(surnames, "cut string, initial string, surname string, first bigint"), "surname-cuts")
+    left, right = cuts.toDF("cut", "initial", "surname1", "a"), cuts.toDF("cut", "initial", "surname2", "b")
+    met = left.join(right, ["cut", "initial"]).filter("surname1 < surname2").select("initial", "surname1", "a", "surname2", "b").distinct()
+    met = written(met.mapInArrow(one, "initial string, surname1 string, a bigint, surname2 string, b bigint, sure boolean"), "surname-pairs")
+    full = sigs.filter("initial <> '' and initial not like '#%' and given <> ''").select("id", "initial", "surname", "given")
+    cuts = written(full.mapInArrow(givens, "cut string, id bigint, initial string, surname string, given string"), "given-cuts")
+    left, right = cuts.toDF("cut", "id1", "initial1", "surname1", "given1"), cuts.toDF("cut", "id2", "initial2", "surname2", "given2")
+    pair = ["id1", "initial1", "surname1", "given1", "id2", "initial2", "surname2", "given2"]
+    errors = met.filter("not sure").select(F.col("initial").alias("initial1"), F.col("initial").alias("initial2"), "surname1", "surname2")
+    under_two = left.join(errors, ["initial1", "surname1"]).join(right, ["cut", "initial2", "surname2"]).select(pair)
+    under_one = left.join(right, (left["cut"] == right["cut"]) & (F.col("surname1") == F.col("surname2"))).filter("id1 < id2 and initial1 <> initial2").select(pair)
+    return met.filter("sure").select("a", "b").unionByName(under_two.unionByName(under_one).distinct().mapInArrow(two, "a bigint, b bigint"))
 
 
 def alike(a: tuple[str, str, str], b: tuple[str, str, str]) -> bool:
@@ -252,19 +286,7 @@ def entities(papers: DataFrame, column: str = "authors") -> DataFrame:
     # equal initial and surname: linked to the first of them, not pairwise
     first = sigs.filter("initial <> ''").groupBy("initial", "surname").agg(F.min("id").alias("a"), F.collect_set("id").alias("ids"))
     equal = first.select("a", F.explode("ids").alias("b")).filter("a <> b")
-    # typing errors are looked for between those firsts of full given names
-    blocks = written(_blocks(sigs), "blocks")
-    left, right = blocks.toDF("block", *[f"{c}1" for c in blocks.columns[1:]]), blocks.toDF("block", *[f"{c}2" for c in blocks.columns[1:]])
-    met = left.join(right, "block").filter("id1 < id2").drop("block").dropDuplicates(["id1", "id2"])
-
-    def verify(batches):
-        for batch in batches:
-            c = [x.to_pylist() for x in batch.columns]
-            good = [k for k in range(batch.num_rows) if alike((c[1][k], c[2][k], c[3][k]), (c[5][k], c[6][k], c[7][k]))]
-            rows = pa.array(good, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(4).take(rows)], names=["a", "b"])
-
-    typed = met.select("id1", "initial1", "surname1", "given1", "id2", "initial2", "surname2", "given2").mapInArrow(verify, "a bigint, b bigint")
+    typed = _typed(sigs)
     found = components(equal.unionByName(typed))
     return read.join(found.select(F.col("node").alias("id"), "root"), "id", "left").select("name", "n", F.coalesce("root", "id").alias("entity"))
 

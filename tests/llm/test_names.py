@@ -64,3 +64,12 @@ def test_hot_blocks_are_refined(spark):
     df = spark.createDataFrame([("p", names, "x")], SCHEMA)
     pairs = {(r.name_a, r.name_b) for r in N.linked(N.entities(df)).collect()}
     assert ("Anna Bartmann", "Anna Bartmnan") in pairs
+
+
+def test_hot_surname_keeps_no_spelling_apart(spark):
+    # more given names than any block could hold, and typing errors whose other blocks are as hot
+    names = [f"J{a}{b}{c} Schmidt" for a in "aeiou" for b in "bdfgklmnpr" for c in ("tor", "lis", "mar", "nek", "vid")] + ["J. Schimdt"]
+    names += [f"J{a}{b}{c} Mueller" for a in "aeiou" for b in "bdfgklmnpr" for c in ("tor", "lis", "mar", "nek", "vid")] + ["J. Nueller"]
+    named = {r.name: r.entity for r in N.entities(spark.createDataFrame([("p", names, "x")], SCHEMA)).collect()}
+    assert named["J. Schimdt"] == named["Jabtor Schmidt"] and named["J. Nueller"] == named["Jabtor Mueller"]
+    assert named["J. Schimdt"] != named["J. Nueller"]
