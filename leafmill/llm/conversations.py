@@ -6,8 +6,8 @@ chain, retries of a turn are folded by `turn_id`: of several tries the last comp
 tries are deleted.  Sessions are then judged: `broken`, `empty`, `no_reply`, else they survive.
 
 Whole sessions are folded in the order of a sorted shuffle by session, one session in memory at a time.  A session of
-more than `LARGE` entries is never brought to one task: its chain is ranked by pointer doubling over the cluster and
-its turns are folded with windows over turn numbers.
+more than `LARGE` rows is never brought to one task: its versions are folded by session and id, its chain is ranked by
+pointer doubling over the cluster, and its turns and positions are numbered from sums of blocks of the chain.
 
 Results by case: a null `session_id` is no session, its rows are left out; a null `id` is an entry like any other that
 nothing can follow; several rows of equal session and id are one entry (latest `received_at`, nulls first, further ties
@@ -26,14 +26,18 @@ from .storage import written
 
 #: Entries up to which a session is folded in one task.
 LARGE = 100_000
+#: Entries of a large session that are numbered in one window.
+BLOCK = 10_000
 
 #: A letter, digit, punctuation or symbol; marks count only on a letter, which then counts itself.
 VISIBLE = r"[\p{L}\p{N}\p{P}\p{S}]"
 
 
-def events(log: DataFrame, text: bool = False) -> DataFrame:
+def events(log: DataFrame, text: bool = False, together: bool = True) -> DataFrame:
     """Folded entries: session_id, id, parent_id, kind, turn_id [, role, ts, text].
 
+    together: whether the entries of a session come to lie in one partition; else they are spread by session and id.
+
     kind: 1 session header, 2 turn started, 3 turn completed, 4 turn aborted, 5 visible user message,
     6 visible assistant message, 0 any other entry.
     """
@@ -54,8 +58,9 @@ def events(log: DataFrame, text: bool = False) -> DataFrame:
     rest = [c for c in rows.columns if c not in ("session_id", "id", "at")]
     # the latest version by (received_at, all columns): a total order, so that ties have one result
     latest = F.max(F.struct("at", *rest)).alias("v")
-    # one shuffle by session serves the folding of versions and the walk along the chain
-    return rows.repartition("session_id").groupBy("session_id", "id").agg(latest).select("session_id", "id", *[F.col(f"v.{c}").alias(c) for c in rest])
+    if together:  # one shuffle by session serves the folding of versions and the walk along the chain
+        rows = rows.repartition("session_id")
+    return rows.groupBy("session_id", "id").agg(latest).select("session_id", "id", *[F.col(f"v.{c}").alias(c) for c in rest])
 
 
 def walk(ids: list, parents: list, kinds: list) -> list[int] | None:
@@ -183,20 +188,22 @@ TURNS = "session_id string, position bigint, turn_no bigint, segment_no bigint,
 
 
 def _large(log: DataFrame, large: int) -> DataFrame | None:
-    """The ids of sessions beyond the size for one task; None if there are none (the usual case)."""
+    """The ids of sessions beyond the size for one task; None if there are none (the usual case).
+
+    Their number is at most the rows of the log over `large`.
+    """
     sizes = log.filter("session_id is not null").groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select("session_id")
     return None if sizes.isEmpty() else written(sizes, "large-sessions")
 
 
 def _ranked(entries: DataFrame) -> DataFrame:
-    """Entries of large sessions with `rank` (0 at the header; null if not reached) and `n`, by pointer doubling.
+    """Entries of large sessions with `rank` (0 at the header; null if not reached), by pointer doubling.
 
     After round r every entry knows the entry 2^r steps towards the header, so a chain of n entries takes
     ceil(log2 n) rounds; each round's table is written to the shared folder.
     """
-    keyed = entries.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("session_id")))
-    keyed = written(keyed, "large-entries")
-    longest = keyed.agg(F.max("n")).first()[0] or 0
+    keyed = written(entries, "large-entries")
+    longest = keyed.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
     jumps = keyed.select("session_id", "id", F.col("parent_id").alias("to"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("bigint").alias("steps"))
     for _ in range(max(1, int(longest).bit_length())):
         ahead = jumps.select("session_id", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"))
@@ -210,6 +217,19 @@ def _ranked(entries: DataFrame) -> DataFrame:
     return keyed.join(rank, (keyed.session_id == rank.session_id) & keyed.id.eqNullSafe(rank.id), "left").select(keyed["*"], "rank")
 
 
+def _running(rows: DataFrame, order: str, counts: Column, name: str) -> DataFrame:
+    """rows with `name`, how many of the rows of the session up to and with each satisfy `counts`, in order of `order`.
+
+    The numbers come from sums of blocks of the order, so no window holds a whole session.
+    """
+    block = F.floor(F.col(order) / BLOCK).cast("bigint")
+    sums = rows.groupBy("session_id", block.alias("block")).agg(F.count_if(counts).alias("inside"))
+    earlier = Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("session_id", "block", F.coalesce(F.sum("inside").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("session_id", "block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("block", block).join(sums, ["session_id", "block"]).withColumn(name, F.col("before") + F.count_if(counts).over(inside)).drop("block", "before")
+
+
 def _large_judged(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(session_id, reason) of large sessions, and their entries with rank, segment_no and `stays`."""
     ranked = written(_ranked(entries), "ranked")
@@ -224,17 +244,8 @@ def _large_judged(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.count_if(F.col("kind") == 5).alias("asked"),
     )
     whole = (F.col("reached") == F.col("n")) & (F.col("last") == F.col("n") - 1) & (F.col("starts") == 1) & (F.col("roots") == 1) & (F.col("headers") == 1)
-    # segment number: starts so far, from sums of blocks of ranks, so that no window holds a whole session
-    block = (F.col("rank") / 10_000).cast("bigint")
-    blocks = ranked.groupBy("session_id", block.alias("block")).agg(F.count_if(F.col("kind") == 2).alias("started"))
-    earlier = Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("session_id", "block", F.coalesce(F.sum("started").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("session_id", "block").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = (
-        ranked.withColumn("block", block)
-        .join(blocks, ["session_id", "block"])
-        .withColumn("segment_no", F.col("before") + F.count_if(F.col("kind") == 2).over(inside))
-    )
+    # segment number: starts so far
+    numbered = _running(ranked, "rank", F.col("kind") == 2, "segment_no")
     opened = numbered.filter("kind = 2").select("session_id", "segment_no", F.col("turn_id").alias("opened"))
     ended = numbered.filter("kind = 3").join(opened, ["session_id", "segment_no"]).filter("turn_id = opened").groupBy("session_id", "segment_no").agg(F.min("rank").alias("ended"))
     numbered = numbered.join(ended, ["session_id", "segment_no"], "left")
@@ -257,32 +268,36 @@ def _sorted(entries: DataFrame) -> DataFrame:
     return entries.sortWithinPartitions("session_id")
 
 
+def _parted(log: DataFrame, big: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of the sessions that one task can hold, and those of the large ones."""
+    if big is None:
+        return log, None
+    return log.join(big, "session_id", "left_anti"), log.join(big, "session_id", "left_semi")
+
+
 def verdicts(log: DataFrame, large: int = LARGE) -> DataFrame:
     """session_id and reason (broken, empty, no_reply; null for a session that stays) of every session."""
-    big = _large(log, large)
-    entries = events(log)
-    small = entries if big is None else entries.join(big, "session_id", "left_anti")
-    found = _sorted(small).mapInArrow(_fold(0), "session_id string, reason string")
-    return found if big is None else found.unionByName(_large_judged(entries.join(big, "session_id", "left_semi"))[0])
+    small, hot = _parted(log, _large(log, large))
+    found = _sorted(events(small)).mapInArrow(_fold(0), "session_id string, reason string")
+    return found if hot is None else found.unionByName(_large_judged(events(hot, together=False))[0])
 
 
 def conversations(log: DataFrame, segments: DataFrame | None = None, large: int = LARGE) -> DataFrame:
     """The messages of surviving sessions in order: session_id, position, turn_no, segment_no, turn_id, id, role, ts, text
     and, with `segments`, what the client saw of the segment (`snapshot_completed`, null if it saw nothing)."""
-    big = _large(log, large)
-    entries = events(log, text=True)
-    small = entries if big is None else entries.join(big, "session_id", "left_anti")
-    turns = _sorted(small).mapInArrow(_fold(1), TURNS)
-    if big is not None:
-        verdict, kept = _large_judged(entries.join(big, "session_id", "left_semi"))
-        kept = kept.join(verdict.filter("reason is null"), "session_id", "left_semi")
-        by = Window.partitionBy("session_id").orderBy("rank")
+    small, hot = _parted(log, _large(log, large))
+    turns = _sorted(events(small, text=True)).mapInArrow(_fold(1), TURNS)
+    if hot is not None:
+        verdict, kept = _large_judged(events(hot, text=True, together=False))
+        kept = written(kept.join(verdict.filter("reason is null"), "session_id", "left_semi"), "large-kept")
+        placed = _running(kept, "rank", F.lit(True), "position")
+        starts = kept.groupBy("session_id", "segment_no").agg(F.lit(True).alias("first"))
+        numbers = _running(starts, "segment_no", F.col("first"), "turn_no").select("session_id", "segment_no", "turn_no")
         turns = turns.unionByName(
-            kept.select(
-                "session_id", (F.row_number().over(by) - 1).cast("bigint").alias("position"), (F.dense_rank().over(Window.partitionBy("session_id").orderBy("segment_no")) - 1).cast("bigint").alias("turn_no"),
-                "segment_no", F.col("turn_of").alias("turn_id"), "id", "role", "ts", "text",
+            placed.join(numbers, ["session_id", "segment_no"]).select(
+                "session_id", (F.col("position") - 1).alias("position"), (F.col("turn_no") - 1).alias("turn_no"), "segment_no", F.col("turn_of").alias("turn_id"), "id", "role", "ts", "text"
             )
-        )
+        )
     if segments is None:
         return turns
     seen = segments.filter("session_id is not null and segment_no is not null").groupBy("session_id", "segment_no").agg(F.max_by("completed", "snapshot_at").alias("snapshot_completed"))

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 #: Buckets of the seeded order of a pattern.
 BUCKETS = 4096
-#: Membership patterns that a plan is made for: all subsets of ten sources.
-MAX_PATTERNS = 1 << 10
+#: Membership patterns that a plan is made for by default; `mix` refuses a corpus with more, and never leaves one out.
+MAX_PATTERNS = 1 << 16
 
 
 def min_cost_flow(arcs: list[tuple[int, int, int, int]], nodes: int, start: int, end: int) -> list[int]:
@@ -75,6 +75,7 @@ def min_cost_flow(arcs: list[tuple[int, int, int, int]], nodes: int, start: int,
 def plan(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]], total: int) -> dict[tuple[tuple[str, ...], str], int]:
     """Tokens that each pattern gives to each source. targets: source -> (share, max_repeats)."""
     names, sources = sorted(patterns), sorted(targets)
+    place = {s: j for j, s in enumerate(sources)}
     start, end, base = 0, 1, 2 + len(names)
     arcs, meaning = [], []
     for i, p in enumerate(names):
@@ -82,7 +83,7 @@ def plan(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, i
             arcs.append((start, 2 + i, patterns[p], k))
         for s in p:
             meaning.append((len(arcs), p, s))
-            arcs.append((2 + i, base + sources.index(s), patterns[p] * targets[s][1], 0))
+            arcs.append((2 + i, base + place[s], patterns[p] * targets[s][1], 0))
     for j, s in enumerate(sources):
         arcs.append((base + j, end, round(targets[s][0] * total), 0))
     flow = min_cost_flow(arcs, base + len(sources), start, end)
@@ -117,23 +118,24 @@ class Mixture:
         placed = docs.withColumn("within", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(sums, ["pattern", "bucket"])
         start = F.col("bucket_start") + F.col("within")
         passes = lambda x: F.ceil((F.col(x) - start).cast("double") / F.col("length"))
-        # at most MAX_PATTERNS x sources intervals
-        used = placed.join(F.broadcast(intervals), "pattern").withColumn("copies", (passes("x1") - F.greatest(passes("x0"), F.lit(0))).cast("int"))
+        # a row for each pattern and source of the plan: broadcast by the optimizer's own size check
+        used = placed.join(intervals, "pattern").withColumn("copies", (passes("x1") - F.greatest(passes("x0"), F.lit(0))).cast("int"))
         return used.filter("copies > 0").select(F.col("key").alias(self.key), "source", "tokens", "copies")
 
 
-def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, key: str = "doc_id", total: int | None = None, seed: int = 7) -> Mixture:
+def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, key: str = "doc_id", total: int | None = None, seed: int = 7, max_patterns: int = MAX_PATTERNS) -> Mixture:
     """Plan a mixture. documents: `key`, `sources` (array of the sources of a record), `tokens`; other columns are not read.
 
     total: tokens of the whole mixture; by default the tokens of all documents of the target sources.
-    targets: `source`, `target_share`, `max_repeats`; a small fixed table.
+    targets: `source`, `target_share`, `max_repeats`; all its rows are planned for.
+    max_patterns: how many different sets of sources the plan may hold on the driver; more of them are an error.
     """
-    wanted = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in targets.select("source", "target_share", "max_repeats").limit(MAX_PATTERNS).collect() if r["source"] is not None}
+    wanted = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in targets.select("source", "target_share", "max_repeats").collect() if r["source"] is not None}
     known = F.array_sort(F.array_intersect(F.array_distinct("sources"), F.array(*[F.lit(s) for s in sorted(wanted)]).cast("array<string>")))
     docs = documents.select(F.col(key).alias("key"), F.concat_ws("\x00", known).alias("pattern"), "tokens").filter("pattern <> ''")
-    sums = docs.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).limit(MAX_PATTERNS + 1).collect()
-    if len(sums) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    sums = docs.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).limit(max_patterns + 1).collect()
+    if len(sums) > max_patterns:
+        raise ValueError(f"more than {max_patterns} membership patterns")
     patterns = {tuple(r["pattern"].split("\x00")): r["tokens"] for r in sums if r["tokens"]}
     if total is None:
         total = sum(patterns.values())

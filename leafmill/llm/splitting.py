@@ -1,8 +1,9 @@
 """Problem 2: oversized texts cut into pieces at natural boundaries.
 
-A text is read as a tree: sections under headings, blocks between blank lines, lines, sentences, clauses, words.
-Neighbouring subtrees are merged from the leaves up while they fit into a piece, and only nodes that are too large are
-entered.  An unbroken string longer than a piece is cut between characters, never inside a combining sequence.
+A text is read as a tree: sections under headings, blocks between blank lines, lists and tables inside a block, their
+outer items, lines, sentences, clauses, words.  Neighbouring siblings are merged while they fit into a piece, and only
+nodes that are too large are entered; what is left at the end of such a node is not merged with the node after it.  An
+unbroken string longer than a piece is cut between characters, never inside a combining sequence.
 
 Each piece after the first begins with the last `overlap` characters of the piece before, or with fewer, to begin at a
 sentence, line or word.  `page_start` follows form feeds in the text or, without any, the piece's place between
@@ -24,11 +25,39 @@ from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 2400, 200
 
-#: Where a node of each level begins: headings by depth, blocks, lines (list items, rows), sentences, clauses, words.
+_LISTED = re.compile(r"[^\S\n]*(?:[-*•+]\s|\d{1,3}[.)]\s|\|)")
+
+
+class _Lists:
+    """Where a list or table begins or ends between two lines of a block; used like a pattern."""
+
+    def finditer(self, text: str, begin: int, end: int):
+        before = None
+        for m in _LINES.finditer(text, begin, end):
+            listed = bool(_LISTED.match(text, m.start()))
+            deeper = before and text[m.start()] in " \t"  # a line that goes on under its item
+            if before is not None and listed != before and not deeper:
+                yield _Place(m.start())
+            before = listed or bool(deeper)
+
+
+class _Place:
+    def __init__(self, at: int):
+        self.at = at
+
+    def end(self) -> int:
+        return self.at
+
+
+_LINES = re.compile(r"^(?=.)", re.M)
+#: Where a node of each level begins: headings by depth, blocks, lists and tables, outer items, lines, sentences,
+#: clauses, words.
 LEVELS = [
     *[re.compile(rf"^(?=#{{1,{depth}}} )", re.M) for depth in range(1, 7)],
     re.compile(r"(?<=\f)|\n[^\S\n]*\n\s*(?=\S)"),
-    re.compile(r"(?<=\n)(?=\S)"),
+    _Lists(),
+    re.compile(r"(?<=\n)(?=[-*•+]\s|\d{1,3}[.)]\s|\|)"),
+    re.compile(r"(?<=\n)(?=[^\S\n]*\S)"),
     re.compile(r"(?<=[.!?…])[\"')\]”’]*\s+(?=\S)|(?<=[。!?…])[”’」』)]*(?=\S)"),
     re.compile(r"(?<=[;:,])\s+(?=\S)|(?<=[;:,、])(?=\S)"),
     re.compile(r"\s+(?=\S)"),
@@ -68,12 +97,16 @@ def _pack(text: str, begin: int, end: int, level: int, size: int) -> list[tuple[
     else:
         return _hard(text, begin, end, size)
     out: list[tuple[int, int]] = []
+    merging = False  # whether the last span consists of whole siblings
     for a, b in zip([begin, *borders], [*borders, end]):
-        for part in _pack(text, a, b, level, size):
-            if out and part[1] - out[-1][0] <= size:
-                out[-1] = (out[-1][0], part[1])
-            else:
-                out.append(part)
+        if b - a > size:
+            out += _pack(text, a, b, level, size)
+            merging = False
+        elif merging and b - out[-1][0] <= size:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+            merging = True
     return out
 
 

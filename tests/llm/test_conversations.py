@@ -101,3 +101,23 @@ def test_null_ids(spark):
 
     rows = [("s", None, None, "t", "session_header", None, None, None, datetime(2031, 1, 1), None), ("s", "a", None, "t", "message", "user", "x", None, datetime(2031, 1, 1), None)]
     assert [r.reason for r in C.verdicts(spark.createDataFrame(rows, SCHEMA)).collect()] == ["broken"]
+
+
+def test_rows_of_a_large_session_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    log = spark.range(20_000).select(
+        F.lit("s").alias("session_id"), F.format_string("e%06d", F.col("id")).alias("id"), F.when(F.col("id") > 0, F.format_string("e%06d", F.col("id") - 1)).alias("parent_id"),
+        F.when(F.col("id") == 0, "session_header").when(F.col("id") % 4 == 1, "turn_started").when(F.col("id") % 4 == 0, "turn_completed").otherwise("message").alias("type"),
+        F.when(F.col("id") % 4 == 2, "user").when(F.col("id") % 4 == 3, "assistant").alias("role"), F.lit("words").alias("text"), F.when(F.col("id") > 0, F.concat(F.lit("t"), F.floor((F.col("id") - 1) / 4))).alias("turn_id"),
+        F.lit("2024-01-01T00:00:00Z").alias("ts"), F.current_timestamp().alias("received_at"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small
+    sizes = C.events(log, together=False).groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 3 and max(r["count"] for r in sizes) < 10_000
+    assert [tuple(r) for r in C.verdicts(log, large=1000).collect()] == [("s", "no_reply")]  # the last turn is open
+    whole = log.filter("id <= 'e019996'")
+    assert [tuple(r) for r in C.verdicts(whole, large=1000).collect()] == [("s", None)]
+    out = C.conversations(whole, large=1000).orderBy("position").collect()
+    assert len(out) == 2 * 4999 and [r.position for r in out] == list(range(len(out))) and [r.turn_no for r in out] == [k // 2 for k in range(len(out))]

@@ -72,3 +72,16 @@ def test_shortage_and_odd_rows(spark):
     assert [(r.doc_id, r.copies) for r in m.select().collect()] == [(1, 2), (1, 2)]
     empty = mixing.mix(spark, docs.limit(0), targets)
     assert all(r.tokens == 0 for r in empty.report.collect()) and empty.select().count() == 0
+
+
+def test_all_of_many_targets_are_planned(spark):
+    names = [f"s{i:04}" for i in range(1100)]
+    targets = spark.createDataFrame([(s, 1 / 1100, 1) for s in names], "source string, target_share double, max_repeats int")
+    docs = spark.createDataFrame([(i, [s], 10) for i, s in enumerate(names)], "doc_id bigint, sources array<string>, tokens bigint")
+    m = mixing.mix(spark, docs, targets)
+    assert m.report.count() == 1100 and m.report.filter("planned = 10").count() == 1100
+    try:
+        mixing.mix(spark, docs, targets, max_patterns=100)
+        raise AssertionError("too many patterns must be refused")
+    except ValueError:
+        pass

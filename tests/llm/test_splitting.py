@@ -58,3 +58,16 @@ def test_rows(spark):
 
 def test_form_feeds_tell_the_page():
     assert S._page("a\fb\fc", 4, 5, 9) == 7 and S._page("a\fb", 2, 5, 5) == 5
+
+
+def test_the_end_of_a_long_section_is_not_merged_with_the_next_one():
+    text = "# A\n" + "Words of the long section go on here. " * 20 + "\n# B\nShort words of B.\n# C\nShort words of C.\n"
+    parts = check(text, 400, 40)
+    assert [text[b:] for _, b, _ in parts][-1].startswith("# B") and text[parts[-1][1] : parts[-1][2]].count("# ") == 2
+
+
+def test_lists_are_nodes_and_their_inner_items_stay_with_them():
+    items = "".join(f"- item {i} of the outer list\n  - inner {i} a\n  - inner {i} b\n" for i in range(8))
+    text = "Some lines before the list.\nAnother line.\n" + items + "A line after the list.\n"
+    for _, b, _ in check(text, 260, 0)[1:]:
+        assert text[b:].startswith("- item") or text[b:].startswith("A line after")
