@@ -60,3 +60,48 @@ def test_rows(spark):
     assert got == sorted([*range(len(SPAM)), 0, None], key=str)
     assert S.shares(df.limit(0)).count() == 0
     assert S.share("best essay help " * 20_000) > 0.9
+
+
+def test_stuffing_on_less_than_half_of_a_page_has_its_share():
+    prose = "As the survey shows, the method is applied to all of the records, and it is not clear whether the result holds for the others. "
+    stuffed = "best essay help cheap essay help " * 9
+    page = prose * 3 + "\n" + stuffed
+    letters = lambda t: len(t) - t.count(" ")
+    assert abs(S.share(page) - letters(stuffed) / letters(page)) < 0.03 and 0.35 < S.share(page) < 0.5
+
+
+def test_hosts_of_any_suffix_are_links():
+    names = ["alpha-deals", "betashop", "gammabuy", "deltaoffer", "epsilonmart", "zetasale"]
+    for suffixes in (["de", "io", "ru", "xyz"], ["com", "info", "net", "org"]):
+        assert S.share("\n".join(f"{n}.{s}" for n in names for s in suffixes)) > 0.9
+    assert S.share("e.g. this, i.e. that; z.B. dies usw. vgl. oben") < 0.5
+
+
+def test_page_numbers_do_not_hide_stuffing():
+    page = "\n".join(f"best cheap essay help online 20{i:02} pp. {i}" for i in range(20))
+    assert S.share(page) > 0.8
+    honest = "\n".join(f"[{i}] {a}, X. On {b} and {c}. Annals of Corpus Work, 20{i:02}, pp. {i}-{i + 9}." for i, (a, b, c) in enumerate(zip("Kobriox Preamt Zeathb Travhi Repri Gaimf Trioxs Zarkm".split(), "citations records theory corpora pages margins proofs sets".split(), "links tables scans models titles words trees sums".split())))
+    assert S.share(honest) < 0.5
+
+
+def test_prose_of_an_unlisted_language_is_kept():
+    minutes = [
+        "Rada gminy na sesji w dniu piątym maja przyjęła uchwałę o budżecie i nie wniosła do niej żadnych uwag.",
+        "Wójt mówił o stanie dróg w gminie, po czym radni pytali go o koszty i do dyskusji nie doszło.",
+        "Na wniosek komisji rada odłożyła sprawę szkoły do jesieni, bo w planie nie ma na nią środków i ludzi.",
+        "Po przerwie radni wrócili do punktu o wodociągach i w głosowaniu nie przyjęli go, choć do końca trwał spór.",
+        "Skarga mieszkańca na hałas w nocy trafiła do policji i nie będzie jej na kolejnej sesji, o co prosił.",
+        "Przewodnicząca podała, że w czerwcu posiedzenie nie odbędzie się, i poprosiła o wnioski do lipca na piśmie.",
+    ]
+    assert S.share("\n".join(minutes * 3)) < 0.5
+
+
+def test_a_very_long_page_needs_little_memory():
+    import tracemalloc
+
+    page = "best essay help cheap paper online " * 30_000  # a million characters
+    tracemalloc.start()
+    assert S.share(page) > 0.9
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * len(page)
