@@ -5,11 +5,16 @@ marks, case and diacritics; for a group, its kind and its own name.  Which of tw
 their use in all names, above all in those with a comma.  An initial with a surname never fits two persons, so equal signatures are one
 entity.
 
-Signatures that differ by typing errors are found by their deletion neighbourhoods: words within an edit distance of k,
-swaps of neighbours included, are equal after at most k deletions in each.  Surnames under one initial meet there, one row
-for each however many given names it has; given names meet there under one surname, or under two that differ by two
-errors.  No block is left out.  Pairs are compared by
-the ratio of their longest common subsequence and an edit distance.  Connected signatures are one entity.
+Names with typing errors are found by suffix blocking: the suffixes of a surname, read forwards and backwards, from just under
+half of its letters on, are indexed together with the initial (a name with one error keeps one of them); the suffixes of the
+given name are indexed together with the surname, where the error is in the initial.  A suffix of more than `COMMON` names is
+refined by what is left of the name beside the suffix with up to one letter deleted, which parts no pair, so that no block is
+left out.  Two errors in a long surname may touch all its suffixes; such pairs meet by two deleted letters.  Pairs are
+compared by the ratio of their longest common subsequence and an edit distance.
+
+A spelling is an error of a more frequent one: each name goes to its most frequent neighbour that has no more frequent
+one itself, so a chain of near names does not become one entity.  Two names that both occur `ATTESTED` times and neither
+`OUTNUMBERED` times as often as the other are two names, however near they are.
 
 Results by case: null and blank names and null or empty lists are no spellings; repeated spellings count once; a name
 without a given name links only to spellings of equal letters; an empty table gives no rows; other columns are not read.
@@ -24,10 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
 from .storage import written
 
 RATIO = 0.8
+#: Names of one suffix and initial up to which they are compared directly.
+COMMON = 200
+#: Occurrences from which a name is no typing error, unless another one is so many times as frequent.
+ATTESTED, OUTNUMBERED = 5, 6
+#: Spellings of one entity that are paired in one task.
+PIECE = 1000
 
 # Short forms whose first letter differs from the formal name's, plainly listed.
 FORMAL = dict(
@@ -56,10 +66,10 @@ GROUP = {
     "u": "university", "library": "library", "libr": "library", "lib": "library", "group": "group", "grp": "group", "document": "document", "docu": "document", "doc": "document", "studies": "studies", "stud": "studies",
     "archive": "archive", "arch": "archive", "technology": "technology", "tech": "technology", "applied": "applied", "appl": "applied", "semantics": "semantics", "sem": "semantics", "semant": "semantics",
     "center": "center", "centre": "center", "ctr": "center", "laboratory": "laboratory", "lab": "laboratory", "consortium": "consortium", "cons": "consortium", "team": "team", "project": "project", "proj": "project",
-    "department": "department", "dept": "department", "school": "school", "college": "college", "society": "society", "soc": "society", "network": "network", "research": "research", "res": "research", "statistical": "statistical", "stat": "statistical", "statistics": "statistical", "reading": "reading", "read": "reading", "science": "science", "sci": "science", "sciences": "science", "computing": "computing", "comp": "computing",
+    "department": "department", "dept": "department", "school": "school", "college": "college", "society": "society", "soc": "society", "network": "network", "research": "research", "res": "research", "statistical": "statistical", "stat": "statistical", "statistics": "statistical", "reading": "reading", "read": "reading", "corporation": "corporation", "corp": "corporation", "company": "company", "experiment": "experiment", "foundation": "foundation", "association": "association", "assoc": "association", "committee": "committee", "agency": "agency", "council": "council", "academy": "academy", "acad": "academy", "national": "national", "natl": "national", "international": "international", "intl": "international", "science": "science", "sci": "science", "sciences": "science", "computing": "computing", "comp": "computing",
 }
 _FILL = frozenset("of the for and in at fur".split())
-_HEADS = frozenset("collaboration institute university group center laboratory consortium team project department school college society network".split())
+_HEADS = frozenset("collaboration institute university group center laboratory consortium team project department school college society network corporation company experiment foundation association committee agency council academy".split())
 _LETTERS = str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "’": "", "'": "", "ʼ": "", "`": "", "´": "", "‘": ""})
 _MARKS = re.compile(r"[*†‡§¶#°^]+|\((?:ed|eds|hrsg)\.?\)|(?<=\D)[\d,;\s]*\d\s*$", re.I)
 
@@ -208,54 +218,97 @@ def _cut(word: str, times: int) -> set[str]:
     return found
 
 
-def _depth(initial: str, surname: str) -> int:
-    """How many errors `alike` forgives in a surname of this length at most."""
-    if initial.startswith("#"):
-        return 1 if len(surname) < 9 else 2
-    return 0 if len(surname) < 4 else 1 if len(surname) < 8 else 2
+def _suffixes(word: str) -> list[tuple[str, str, str]]:
+    """(direction, suffix, rest) of a surname and of its letters backwards.
 
+    One error, a swap of neighbours included, leaves at least (n - 2) / 2 letters, rounded up, before or after it, n being
+    the shorter of both lengths.
+    """
+    out = []
+    for way, w in ((">", word), ("<", word[::-1])):
+        for size in sorted({max(1, (n - 1) // 2) for n in (len(w) - 1, len(w)) if n > 1}):
+            out.append((way, w[len(w) - size :], w[: len(w) - size]))
+    return out
+
+
+def _arrow(rows: list, kinds: tuple, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=names)
+
+
+_TEXT, _NUMBER = pa.string(), pa.int64()
 
-def _typed(sigs: DataFrame) -> DataFrame:
-    """a, b of all signatures that are alike and differ in initial or surname, or links that stand for them."""
 
-    def surnames(batches):
+def _met_surnames(names: DataFrame) -> DataFrame:
+    """initial, surname1, surname2 (in order) of all names that may be one with an error. names: initial, surname."""
+
+    def index(batches):
         for batch in batches:
-            out = [(c, i, s, f) for i, s, f in zip(*[c.to_pylist() for c in batch.columns]) for c in _cut(s, _depth(i, s))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64() if j == 3 else pa.string()) for j in range(4)], names=["cut", "initial", "surname", "first"])
+            out = [(f"{i}|{way}{end}", i, s, rest) for i, s in zip(*[c.to_pylist() for c in batch.columns]) if len(s) > 3 or i.startswith("#") for way, end, rest in _suffixes(s)]
+            yield _arrow(out, (_TEXT,) * 4, ["block", "initial", "surname", "rest"])
 
-    def givens(batches):
+    def refine(batches):
         for batch in batches:
-            out = [(c, *r) for r in zip(*[c.to_pylist() for c in batch.columns]) for c in _cut(r[3], 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64() if j == 1 else pa.string()) for j in range(5)], names=["cut", "id", "initial", "surname", "given"])
+            out = [(f"{b}|{c}", i, s) for b, i, s, rest in zip(*[c.to_pylist() for c in batch.columns]) for c in _cut(rest, 1)]
+            yield _arrow(out, (_TEXT,) * 3, ["block", "initial", "surname"])
+
+    def twice(batches):
+        for batch in batches:
+            out = [(f"{i}|{c}", i, s) for i, s in zip(*[c.to_pylist() for c in batch.columns]) for c in _cut(s, 2)]
+            yield _arrow(out, (_TEXT,) * 3, ["block", "initial", "surname"])
+
+    rows = written(names.mapInArrow(index, "block string, initial string, surname string, rest string"), "suffixes")
+    common = rows.groupBy("block").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > COMMON).select("block")
+    three = "block string, initial string, surname string"
+    few = rows.join(common, "block", "left_anti").select("block", "initial", "surname")
+    many = rows.join(common, "block", "left_semi").mapInArrow(refine, three)
+    long = names.filter(F.length("surname") >= F.when(F.col("initial").startswith("#"), 9).otherwise(8)).mapInArrow(twice, three)
+    blocks = written(few.unionByName(many).unionByName(long), "blocks")
+    left, right = blocks.toDF("block", "initial", "surname1"), blocks.toDF("block", "initial2", "surname2").drop("initial2")
+    return left.join(right, "block").filter("surname1 < surname2").select("initial", "surname1", "surname2").distinct()
+
+
+def _key(initial, surname):
+    return F.xxhash64(F.lit("name"), initial, surname)
+
+
+def _typed(sigs: DataFrame) -> DataFrame:
+    """a, b (keys) of all names that are alike and differ in initial or surname."""
 
     def one(batches):
         for batch in batches:
             rows = [r for r in zip(*[c.to_pylist() for c in batch.columns])]
-            out = [(*r, alike((r[0], r[1], ""), (r[0], r[3], ""))) for r in rows]
-            out = [r for r in out if r[5] or (near(r[1], r[3]) == 2 and not r[0].startswith("#"))]
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names=["initial", "surname1", "a", "surname2", "b", "sure"])
+            out = [(*r, alike((r[0], r[1], ""), (r[0], r[2], ""))) for r in rows]
+            out = [r for r in out if r[3] or (near(r[1], r[2]) == 2 and not r[0].startswith("#"))]
+            yield _arrow(out, (_TEXT, _TEXT, _TEXT, pa.bool_()), ["initial", "surname1", "surname2", "sure"])
+
+    def givens(batches):
+        for batch in batches:
+            out = [(i, s, g, g[k:]) for i, s, g in zip(*[c.to_pylist() for c in batch.columns]) for k in (0, 1, 2) if len(g) - k > 1]
+            yield _arrow(out, (_TEXT,) * 4, ["initial", "surname", "given", "suffix"])
 
     def two(batches):
         for batch in batches:
             c = [x.to_pylist() for x in batch.columns]
-            pairs = [((c[1][k], c[2][k], c[3][k]), (c[5][k], c[6][k], c[7][k])) for k in range(batch.num_rows)]
+            pairs = [((c[0][k], c[1][k], c[2][k]), (c[3][k], c[4][k], c[5][k])) for k in range(batch.num_rows)]
             rows = pa.array([k for k, (x, y) in enumerate(pairs) if alike(x, y) or alike(y, x)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(4).take(rows)], names=["a", "b"])
-
-    distinct = sigs.filter("initial <> ''").groupBy("initial", "surname").agg(F.min("id").alias("first"))
-    cuts = written(distinct.mapInArrow(surnames, "cut string, initial string, surname string, first bigint"), "surname-cuts")
-    left, right = cuts.toDF("cut", "initial", "surname1", "a"), cuts.toDF("cut", "initial", "surname2", "b")
-    met = left.join(right, ["cut", "initial"]).filter("surname1 < surname2").select("initial", "surname1", "a", "surname2", "b").distinct()
-    met = written(met.mapInArrow(one, "initial string, surname1 string, a bigint, surname2 string, b bigint, sure boolean"), "surname-pairs")
-    full = sigs.filter("initial <> '' and initial not like '#%' and given <> ''").select("id", "initial", "surname", "given")
-    cuts = written(full.mapInArrow(givens, "cut string, id bigint, initial string, surname string, given string"), "given-cuts")
-    left, right = cuts.toDF("cut", "id1", "initial1", "surname1", "given1"), cuts.toDF("cut", "id2", "initial2", "surname2", "given2")
-    pair = ["id1", "initial1", "surname1", "given1", "id2", "initial2", "surname2", "given2"]
-    errors = met.filter("not sure").select(F.col("initial").alias("initial1"), F.col("initial").alias("initial2"), "surname1", "surname2")
-    under_two = left.join(errors, ["initial1", "surname1"]).join(right, ["cut", "initial2", "surname2"]).select(pair)
-    under_one = left.join(right, (left["cut"] == right["cut"]) & (F.col("surname1") == F.col("surname2"))).filter("id1 < id2 and initial1 <> initial2").select(pair)
-    return met.filter("sure").select("a", "b").unionByName(under_two.unionByName(under_one).distinct().mapInArrow(two, "a bigint, b bigint"))
+            yield pa.RecordBatch.from_arrays([batch.column(j).take(rows) for j in (0, 1, 3, 4)], names=["initial1", "surname1", "initial2", "surname2"])
+
+    names = sigs.filter("initial <> ''").select("initial", "surname").distinct()
+    met = written(_met_surnames(names).mapInArrow(one, "initial string, surname1 string, surname2 string, sure boolean"), "surname-pairs")
+    full = sigs.filter("initial <> '' and initial not like '#%' and length(given) > 2").select("initial", "surname", "given").distinct()
+    # two errors in the surname: under given names that are near
+    left, right = full.toDF("initial", "surname1", "given1"), full.toDF("initial", "surname2", "given2")
+    six = ["initial1", "surname1", "given1", "initial2", "surname2", "given2"]
+    double = met.filter("not sure").join(left, ["initial", "surname1"]).join(right, ["initial", "surname2"])
+    double = double.filter(F.levenshtein("given1", "given2", 2).between(0, 2)).select(F.col("initial").alias("initial1"), "surname1", "given1", F.col("initial").alias("initial2"), "surname2", "given2")
+    # an error in the initial: the rest of the given name is a suffix under the same surname
+    ends = written(full.mapInArrow(givens, "initial string, surname string, given string, suffix string"), "given-suffixes")
+    l, r = ends.toDF("initial1", "surname", "given1", "suffix"), ends.toDF("initial2", "surname", "given2", "suffix")
+    other = l.join(r, ["surname", "suffix"]).filter("initial1 < initial2").select("initial1", F.col("surname").alias("surname1"), "given1", "initial2", F.col("surname").alias("surname2"), "given2").distinct()
+    four = "initial1 string, surname1 string, initial2 string, surname2 string"
+    found = double.unionByName(other).select(six).mapInArrow(two, four)
+    sure = met.filter("sure").select(F.col("initial").alias("initial1"), "surname1", F.col("initial").alias("initial2"), "surname2")
+    return sure.unionByName(found).select(_key("initial1", "surname1").alias("a"), _key("initial2", "surname2").alias("b")).distinct()
 
 
 def alike(a: tuple[str, str, str], b: tuple[str, str, str]) -> bool:
@@ -277,21 +330,43 @@ def alike(a: tuple[str, str, str], b: tuple[str, str, str]) -> bool:
     return s == t and len(g) > 2 and len(h) > 2 and near(g, h) <= 1 and lcs_ratio(g, h) >= RATIO
 
 
+def _centred(keys: DataFrame, pairs: DataFrame) -> DataFrame:
+    """key, entity of each name that goes to another one. keys: key, surname, n. pairs: a, b.
+
+    The direction is from the less to the more frequent name (the larger key at a tie). A name without a more frequent
+    neighbour is a centre; another one goes to its most frequent neighbour that is a centre or, without any, with its
+    most frequent neighbour to that one's centre, if it is within two errors of it.
+    """
+    pairs = pairs.join(keys.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("surname").alias("sa")), "a").join(keys.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("surname").alias("sb")), "b")
+    pairs = pairs.filter(~((F.least("na", "nb") >= ATTESTED) & (F.greatest("na", "nb") < OUTNUMBERED * F.least("na", "nb"))))
+    up = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a")))
+    x, y = F.struct(F.col("a").alias("key"), F.col("na").alias("n"), F.col("sa").alias("s")), F.struct(F.col("b").alias("key"), F.col("nb").alias("n"), F.col("sb").alias("s"))
+    edges = written(pairs.select(F.when(up, x).otherwise(y).alias("low"), F.when(up, y).otherwise(x).alias("high")).select(F.col("low.key").alias("key"), F.col("low.s").alias("surname"), F.col("high.key").alias("to"), F.col("high.n").alias("n"), F.col("high.s").alias("center")), "name-edges")
+    lower = edges.select(F.col("key").alias("to")).distinct()
+    best = lambda e: e.groupBy("key").agg(F.max_by(F.struct("to", "center", "surname"), F.struct("n", "to")).alias("e")).select("key", "e.*")
+    direct = written(best(edges.join(lower, "to", "left_anti")), "centred")
+    rest = best(edges.join(direct.select("key"), "key", "left_anti"))
+    through = rest.join(direct.select(F.col("key").alias("to"), F.col("to").alias("top"), F.col("center").alias("top_name")), "to").filter(F.levenshtein("surname", "top_name", 2).between(0, 2))
+    return direct.select("key", F.col("to").alias("entity")).unionByName(through.select("key", F.col("top").alias("entity")))
+
+
 def entities(papers: DataFrame, column: str = "authors") -> DataFrame:
     """name, n, entity (a number) of every spelling."""
     read = signatures(spellings(papers, column))
-    # one row for each way to write initial, surname and given name; its number is a hash of them
-    read = written(read.withColumn("id", F.xxhash64("initial", "surname", "given")), "signatures")
-    sigs = written(read.groupBy("id", "initial", "surname", "given").agg(F.sum("n").alias("n")), "distinct-signatures")
-    # equal initial and surname: linked to the first of them, not pairwise
-    first = sigs.filter("initial <> ''").groupBy("initial", "surname").agg(F.min("id").alias("a"), F.collect_set("id").alias("ids"))
-    equal = first.select("a", F.explode("ids").alias("b")).filter("a <> b")
-    typed = _typed(sigs)
-    found = components(equal.unionByName(typed))
-    return read.join(found.select(F.col("node").alias("id"), "root"), "id", "left").select("name", "n", F.coalesce("root", "id").alias("entity"))
+    # a name is an initial with a surname; without an initial it links to spellings of equal letters only
+    key = F.when(F.col("initial") != "", _key("initial", "surname")).otherwise(F.xxhash64("initial", "surname", "given"))
+    read = written(read.withColumn("key", key), "signatures")
+    keys = written(read.filter("initial <> ''").groupBy("key", "surname").agg(F.sum("n").alias("n")), "name-keys")
+    found = _centred(keys, _typed(read.select("initial", "surname", "given").distinct()))
+    return read.join(found, "key", "left").select("name", "n", F.coalesce("entity", "key").alias("entity"))
 
 
 def linked(named: DataFrame) -> DataFrame:
-    """Every pair (name_a < name_b by code points) of spellings of one entity."""
+    """Every pair (name_a < name_b by code points) of spellings of one entity. An entity of very many spellings is
+    paired in pieces, every piece with all its spellings."""
     named = written(named.select("entity", "name"), "entities")
-    return named.withColumnRenamed("name", "name_a").join(named.withColumnRenamed("name", "name_b"), "entity").filter("name_a < name_b").select("name_a", "name_b")
+    sizes = named.groupBy("entity").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("entity", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces"))
+    named = named.join(sizes, "entity")
+    left = named.select("entity", F.col("name").alias("name_a"), F.pmod(F.xxhash64("name"), F.col("pieces")).cast("int").alias("piece"))
+    right = named.select("entity", F.col("name").alias("name_b"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    return left.join(right, ["entity", "piece"]).filter("name_a < name_b").select("name_a", "name_b")

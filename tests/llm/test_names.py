@@ -59,7 +59,7 @@ def test_distances(a, b):
 
 
 def test_hot_blocks_are_refined(spark):
-    # more than COMMON names share initial and suffix; a typing error is still found through rarer suffixes
+    # more than `COMMON` names share initial and suffix; a typing error is still found through rarer suffixes
     names = [f"Anna {a}{b}{c}mann" for a in "BDFGHKLMN" for b in "aeiou" for c in ("rt", "lk", "nd", "st", "mp")] + ["Anna Bartmnan"]
     df = spark.createDataFrame([("p", names, "x")], SCHEMA)
     pairs = {(r.name_a, r.name_b) for r in N.linked(N.entities(df)).collect()}
@@ -73,3 +73,37 @@ def test_hot_surname_keeps_no_spelling_apart(spark):
     named = {r.name: r.entity for r in N.entities(spark.createDataFrame([("p", names, "x")], SCHEMA)).collect()}
     assert named["J. Schimdt"] == named["Jabtor Schmidt"] and named["J. Nueller"] == named["Jabtor Mueller"]
     assert named["J. Schimdt"] != named["J. Nueller"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("abcd", min_size=4, max_size=9), st.integers(0, 8), st.sampled_from("sidx"), st.sampled_from("abcd"))
+def test_one_error_leaves_a_common_suffix(word, k, kind, letter):
+    k %= len(word)
+    other = {"s": word[:k] + letter + word[k + 1 :], "i": word[:k] + letter + word[k:], "d": word[:k] + word[k + 1 :], "x": word[:k] + word[k : k + 2][::-1] + word[k + 2 :]}[kind]
+    if len(other) < 4 or other == word:
+        return
+    mine, theirs = ({(way, end): rest for way, end, rest in N._suffixes(w)} for w in (word, other))
+    both = mine.keys() & theirs.keys()
+    # also where a suffix is too common and refined by its rest
+    assert any(N._cut(mine[b], 1) & N._cut(theirs[b], 1) for b in both)
+
+
+def test_frequent_names_that_are_near_stay_apart(spark):
+    rows = [("p", [f"Anna {s}"], "x") for s in "Baier Baker Bayer Beyer Maier Maker Mayer Meyer".split() for _ in range(6)]
+    rows += [("q", ["Anna Mezer", "A. Beyr", "Anna Bakker"], "x")]
+    named = {r.name: r.entity for r in N.entities(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len({named[f"Anna {s}"] for s in "Baier Baker Bayer Beyer Maier Maker Mayer Meyer".split()}) == 8
+    assert named["Anna Mezer"] == named["Anna Meyer"] and named["A. Beyr"] == named["Anna Beyer"] and named["Anna Bakker"] == named["Anna Baker"]
+
+
+def test_many_near_names_are_no_chain(spark):
+    words = [a + b + c + "ller" for a in "hkmwztbg" for b in "aeiou" for c in "lnr"]
+    named = N.entities(spark.createDataFrame([("p", [f"Anna {w.title()}" for w in words], "x")], SCHEMA))
+    assert named.groupBy("entity").count().agg({"count": "max"}).first()[0] < len(words) / 2
+
+
+def test_pairs_of_an_entity_of_many_spellings(spark, monkeypatch):
+    monkeypatch.setattr(N, "PIECE", 7)
+    named = spark.createDataFrame([(1, f"n{i:02}") for i in range(30)] + [(2, "a"), (2, "b"), (3, "c")], "entity bigint, name string")
+    pairs = {tuple(r) for r in N.linked(named).collect()}
+    assert pairs == {(f"n{i:02}", f"n{j:02}") for i in range(30) for j in range(i + 1, 30)} | {("a", "b")}
