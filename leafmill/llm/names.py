@@ -35,7 +35,7 @@ RATIO = 0.8
 #: Names of one suffix and initial up to which they are compared directly.
 COMMON = 200
 #: Occurrences from which a name is no typing error, unless another one is so many times as frequent.
-ATTESTED, OUTNUMBERED = 5, 6
+ATTESTED, OUTNUMBERED = 5, 1.5
 #: Spellings of one entity that are paired in one task.
 PIECE = 1000
 
