@@ -151,3 +151,10 @@ def markdown(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])))
 def math_pieces(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else [{"kind": k, "text": x} for k, x in inline_math(t)])
+
+
+@F.pandas_udf(T.StructType([T.StructField("operation", T.StringType()), T.StructField("arguments", T.ArrayType(T.StringType()))]))
+def command(commands: pd.Series) -> pd.DataFrame:
+    """Operation and arguments of a read or search command (STR13); null for other commands."""
+    parsed = [None if c is None else read_command(c) for c in commands]
+    return pd.DataFrame({"operation": [p and p[0] for p in parsed], "arguments": [p and p[1] for p in parsed]})

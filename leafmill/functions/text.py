@@ -19,6 +19,8 @@ SK_KEY = r"\bsk-[A-Za-z0-9_-]{8,}\b"
 SIGNATURE_MASK = r"0[xX][0-9a-fA-F]+|\d+\.\d+|\d+(?!\\?\"[,}]|$)"
 PROSE = r"[㐀-鿿]|[A-Za-z]{2,}"
 GARBLE = r"[�-\u0000-\u0008\u000B\u000C\u000E-\u001F\u007F]"
+# Names of fields that hold secrets.
+SENSITIVE = ("authorization", "cookie", "passwd", "password", "proxy_authorization", "secret", "set_cookie", "token")
 LINE_END = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085  ]"
 
 
@@ -40,6 +42,11 @@ def lines(c: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
 
 
+@F.pandas_udf(T.StringType())
+def case_folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else " ".join(t.split()).casefold())
+
+
 @F.pandas_udf(T.StringType())
 def folded(texts: pd.Series) -> pd.Series:
     """NFKC of the case-folded text with white space collapsed (STR1); there is no built-in for either."""
@@ -52,7 +59,9 @@ def search_key(c: Column) -> Column:
 
 
 def query_fingerprint(c: Column) -> Column:
-    return F.sha2(search_key(c), 256)
+    """Hash of a query with white space collapsed and then case folded, other forms of a character kept apart (STR2)."""
+    plain = F.when(c.rlike(r"^[\x21-\x7E ]*$"), F.trim(F.regexp_replace(F.lower(c), " +", " "))).otherwise(case_folded(c))
+    return F.sha2(plain, 256)
 
 
 def plain_key(c: Column) -> Column:
@@ -75,7 +84,7 @@ def redacted(c: Column) -> Column:
 def sensitive_key(c: Column) -> Column:
     """Whether a field name holds a secret (FLT7)."""
     name = F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), F.lit("_"))
-    return name.isin("api_key", "apikey", "authorization", "cookie", "password", "passwd", "secret", "token", "access_token", "refresh_token") | name.rlike("(_api_key|_password|_secret|_token)$")
+    return name.isin(*SENSITIVE) | name.rlike("(_api_key|_password|_secret|_token)$")
 
 
 def bounded(c: Column, n: int) -> Column:
@@ -99,8 +108,11 @@ def head_and_tail(c: Column, tokens: int, marker: str = "\n[... shortened ...]\n
 
 
 def capped(c: Column, most: int, reserve: int = 500) -> Column:
-    """A text, or a JSON envelope with its beginning, length and hash (STR8)."""
-    return F.when(F.length(c) <= most, c).otherwise(F.to_json(F.struct(F.substring(c, 1, most - reserve).alias("preview"), F.length(c).alias("original_length"), F.sha2(c, 256).alias("sha256"))))
+    """A text, or a JSON envelope with the reason, its beginning, length and hash (STR8)."""
+    reason = F.lit("tool output exceeded its application-defined context limit").alias("reason")
+    head = F.substring(c, 1, max(most - reserve, 0)).alias("preview")
+    envelope = F.struct(F.lit("truncated").alias("status"), reason, head, F.length(c).alias("original_length"), F.sha2(c, 256).alias("sha256"))
+    return F.when(F.length(c) <= most, c).otherwise(F.to_json(envelope))
 
 
 def visible_controls(c: Column) -> Column:
@@ -148,17 +160,18 @@ def png_size(c: Column) -> Column:
 
 
 def bare_latex(c: Column) -> Column:
-    """Without the outermost math delimiters (STR25)."""
+    """Without the outermost math delimiters; of the pairs that fit, the first of `$$`, `\\[`, `\\(` and `$` (STR25)."""
     t = F.trim(c)
     inner = lambda a, b: F.trim(F.substring(t, F.lit(a + 1), F.length(t) - a - b))
     out = t
-    for a, b in (("$", "$"), ("\\(", "\\)"), ("\\[", "\\]"), ("$$", "$$")):
+    for a, b in (("$", "$"), ("\\(", "\\)"), ("\\[", "\\]"), ("$$", "$$")):  # the last one that fits is the outer `when`
         out = F.when(t.startswith(a) & t.endswith(b) & (F.length(t) >= len(a) + len(b)), inner(len(a), len(b))).otherwise(out)
     return out
 
 
-def tail(c: Column, n: int = 4000) -> Column:
-    return F.when(F.length(c) > n, F.concat(F.lit("… "), F.substring(c, -n, n))).otherwise(c)
+def tail(c: Column, active: Column, n: int = 4000, notice: str = "… ") -> Column:
+    """The end of a text behind a notice while it is still growing; else the text (STR26)."""
+    return F.when(active & (F.length(c) > n), F.concat(F.lit(notice), F.substring(c, -n, n))).otherwise(c)
 
 
 def token_estimate(c: Column, bytes_per_token: int = 3) -> Column:
@@ -213,3 +226,68 @@ def bundle_sha(pairs: str) -> Column:
     """Hash over the sorted distinct values of a group, null for none (HSH4)."""
     all_ = F.array_sort(F.collect_set(pairs))
     return F.when(F.size(all_) > 0, F.sha2(F.to_json(all_), 256))
+
+
+def context_limits(window: Column) -> Column:
+    """Tokens to work with and tokens at which history is compacted, as whole percents of a window (NUM4)."""
+    return F.struct(F.floor(window * 95 / 100).cast("bigint").alias("working"), F.floor(window * 90 / 100).cast("bigint").alias("trigger"))
+
+
+def render_scale(width: Column, height: Column, base: int = 1800, most: int = 3600, least_width: float = 700.0, least_height: float = 180.0) -> Column:
+    """Longest side in pixels at which a crop is wide and high enough to be read (NUM5)."""
+    factor = F.greatest(F.lit(1.0), F.lit(least_width) / F.greatest(width, F.lit(1.0)), F.lit(least_height) / F.greatest(height, F.lit(1.0)))
+    return F.least(F.floor(base * factor + 0.5), F.lit(most)).cast("bigint")
+
+
+def iso_time(micros: Column) -> Column:
+    """A modification time in microseconds as ISO text in UTC (DT3)."""
+    return F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+
+
+def without_surrogates(c: Column) -> Column:
+    """Text from bytes; what is no valid UTF-8, lone surrogates included, becomes the replacement character (STR11)."""
+    return F.decode(c, "utf-8")
+
+
+def skill_header(c: Column, name: Column) -> Column:
+    """(version, description) of a document with such a header; null unless it declares each exactly once (STR21)."""
+    t = F.regexp_replace(c, r"^\s+|\s+$", "")
+    versions, descriptions = F.regexp_extract_all(t, F.lit(r"(?m)^version: *(.+)$"), F.lit(1)), F.regexp_extract_all(t, F.lit(r"(?m)^description: *(.+)$"), F.lit(1))
+    ok = t.startswith(F.concat(F.lit("---\nname: "), name, F.lit("\n"))) & (F.size(versions) == 1) & (F.size(descriptions) == 1)
+    return F.when(ok, F.struct(versions[0].alias("version"), descriptions[0].alias("description")))
+
+
+def values_after(c: Column, marker: str, prefix: str, end: str) -> Column:
+    """The value on the first line with a prefix after each marker line (STR27)."""
+    rows = F.transform(F.split(c, "\n"), lambda r: F.trim(r))
+    one = F.aggregate(
+        rows,
+        F.struct(F.lit(False).alias("waiting"), F.array().cast("array<string>").alias("found")),
+        lambda s, r: F.struct(
+            F.when(r == marker, True).when(s["waiting"] & r.startswith(prefix), False).otherwise(s["waiting"]).alias("waiting"),
+            F.when((r != marker) & s["waiting"] & r.startswith(prefix), F.concat(s["found"], F.array(F.substring_index(F.substring(r, len(prefix) + 1, 1 << 30), end, 1)))).otherwise(s["found"]).alias("found"),
+        ),
+    )
+    return one["found"]
+
+
+def page_lines(c: Column, page: Column, damaged: Column, note: str = "[formula text may be garbled]") -> Column:
+    """A page as it is shown (STR10): a marker, a blank line, its lines; runs of damaged lines are wrapped and marked.
+
+    damaged: an array of booleans, one for each line.
+    """
+    rows = F.arrays_zip(lines(visible_controls(c)).alias("t"), damaged.alias("d"))
+    begin = F.concat(F.lit("[[damaged page="), page.cast("string"), F.lit("]]\n" + note + "\n"))
+    n = F.size(rows)
+    shown = F.transform(
+        rows,
+        lambda r, i: F.when(
+            r["d"],
+            F.concat(
+                F.when((i == 0) | ~F.get(damaged, i - 1), begin).otherwise(""), F.lit("raw: "), r["t"],
+                F.when((i == n - 1) | ~F.get(damaged, i + 1), F.lit("\n[[damaged end]]")).otherwise(""),
+            ),
+        ).otherwise(r["t"]),
+    )
+    whole = F.concat_ws("\n", F.concat(F.array(F.concat(F.lit("[[page:"), page.cast("string"), F.lit("]]")), F.lit("")), shown))
+    return F.concat(F.regexp_replace(whole, r"\s+$", ""), F.lit("\n"))

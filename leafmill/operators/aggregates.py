@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def total_or_zero(column: str) -> Column:
     return F.coalesce(F.sum(F.coalesce(F.col(column), F.lit(0))), F.lit(0))
@@ -87,3 +89,71 @@ def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
 def is_partition(parent: Column, a: Column, b: Column) -> Column:
     """Whether two arrays are disjoint and together hold the parent's members (SET2, SET3)."""
     return ~F.arrays_overlap(a, b) & (F.array_sort(F.array_union(a, b)) == F.array_sort(F.array_distinct(parent)))
+
+
+def global_numbers(df: DataFrame, order: str, descending: bool = False, buckets: int = 256) -> DataFrame:
+    """Adds `n`, the place of each row from 1 in the order of a unique column, without a window over everything.
+
+    Rows are sorted into ranges; a row's number is the rows of the ranges before and its place in its own range. The
+    ranges are one row each, so the counts that go to every task are few.
+    """
+    from pyspark.sql import Window
+
+    key = F.desc(order) if descending else F.asc(order)
+    ranged = df.repartitionByRange(buckets, key).withColumn("_range", F.spark_partition_id())
+    ranged = written(ranged, "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn("n", F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_size", "_before")
+
+
+def bounded_set(df: DataFrame, key: list[str], item: str, most: int) -> DataFrame:
+    """The least distinct items of each key up to a bound, how many there are, and whether they are more (AGG8).
+
+    Counted before anything is gathered, so a key of very many items brings no more than `most` of them to a row.
+    """
+    from pyspark.sql import Window
+
+    items = df.filter(F.col(item).isNotNull()).select(*key, item).distinct()
+    ranked = items.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(item)))
+    kept = F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.col(item))))
+    return ranked.groupBy(*key).agg(kept.alias("items"), F.count(F.lit(1)).alias("size"), (F.count(F.lit(1)) > most).alias("over"))
+
+
+def retention_report(payloads: DataFrame, key: str, size, running, old, gone) -> DataFrame:
+    """Counts and bytes of payloads by what may be done with them (AGG4)."""
+    p = payloads.select(key, size.alias("_b"), running.alias("_running"), old.alias("_old"), gone.alias("_gone"))
+    expired = F.col("_old") & ~F.col("_gone")
+    candidate = expired & ~F.col("_running")
+    total = lambda rule: F.coalesce(F.sum(F.when(rule, F.col("_b"))), F.lit(0))
+    return p.groupBy(key).agg(
+        F.count(F.lit(1)).alias("payloads"), total(F.lit(True)).alias("bytes"), F.count_if("_gone").alias("tombstones"), F.count_if("_running").alias("running"), total(F.col("_running")).alias("running_bytes"),
+        F.count_if(expired).alias("expired"), F.count_if(candidate).alias("candidates"), total(candidate).alias("candidate_bytes"),
+    )
+
+
+def rollup_jobs(jobs: DataFrame, job: str, conversation: str, created: str, updated: str, question: str, chars: int = 34) -> DataFrame:
+    """Jobs of each conversation in order (AGG9); a job without one is a conversation of its own."""
+    first = F.struct(created, job)
+    line = F.substring(F.trim(F.substring_index(F.min_by(question, F.when(F.col(question).isNotNull(), first)), "\n", 1)), 1, chars)
+    return jobs.groupBy(F.coalesce(conversation, job).alias("conversation")).agg(F.transform(F.array_sort(F.collect_list(first)), lambda x: x[job]).alias("jobs"), line.alias("title"), F.max(updated).alias("updated"))
+
+
+def reading_order(*columns: str) -> list:
+    """Sort columns for places on a page; a missing coordinate is 0 (SRT5)."""
+    return [F.coalesce(F.col(c), F.lit(0.0)) for c in columns]
+
+
+def bounded_search(hits: DataFrame, order: list[str], most: int, full: bool) -> DataFrame:
+    """The first hits and `truncated` (SRT6): whether the list is full, or (full=False) whether more were found."""
+    found = hits.orderBy(*order).limit(most + 1)
+    size = found.agg((F.count(F.lit(1)) >= most if full else F.count(F.lit(1)) > most).alias("truncated"))
+    return found.orderBy(*order).limit(most).crossJoin(F.broadcast(size))  # one row
+
+
+def last_rows(df: DataFrame, key: list[str], order: str, n: int) -> DataFrame:
+    """The last rows of each key (SRT8)."""
+    from pyspark.sql import Window
+
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).filter(F.col("_n") <= n).drop("_n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Rows of a rule table up to which it is broadcast; beyond, the join is left to the optimizer.
 SMALL = 10_000
 
@@ -103,22 +105,67 @@ def unknown_parents(df: DataFrame, key: list[str], ident: str, parent: str, orde
     return df.filter(F.col(parent).isNotNull()).join(earlier, [*key, parent], "left").filter(F.col("_first").isNull() | (F.col("_first") >= F.col(order))).drop("_first")
 
 
-def closure(spark, links: DataFrame, source: str, target: str, starts: DataFrame, depth: int = 32) -> DataFrame:
-    """Everything reachable from the starts, with the least number of steps (JN16, JN21); cycles end by themselves.
+def closure(spark, links: DataFrame, source: str, target: str, starts: DataFrame) -> DataFrame:
+    """Everything reachable from the starts, with the least number of steps (JN21); cycles end by themselves.
 
-    A frontier at a time; what was reached is anti-joined, so every node is expanded once.
+    A frontier at a time, until it is empty; what was reached is anti-joined, so every node is expanded once. A frontier
+    is a table in the shared folder, so a plan does not grow with the number of steps and survives a lost executor.
     """
     edges = links.select(F.col(source).alias("_s"), F.col(target).alias("_t")).filter("_s is not null and _t is not null").distinct()
     seen = starts.select(F.col(starts.columns[0]).alias("node"), F.lit(0).cast("bigint").alias("steps"))
     frontier = seen
-    for step in range(1, depth + 1):
+    step = 0
+    while True:
+        step += 1
         reached = frontier.join(edges, frontier.node == edges["_s"]).select(F.col("_t").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        # the plan of a frontier is cut each round: it would double otherwise
-        frontier = reached.withColumn("steps", F.lit(step).cast("bigint")).checkpoint() if spark.sparkContext.getCheckpointDir() else reached.withColumn("steps", F.lit(step).cast("bigint")).cache()
+        frontier = written(reached.withColumn("steps", F.lit(step).cast("bigint")), "frontier")
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+
+
+def inherited(spark, sessions: DataFrame, session: str, base: str) -> DataFrame:
+    """Which sessions a session takes its rows from, farthest first, and what is wrong with its chain (JN16).
+
+    sessions: a row for each recovery base of a session (base null: none). Gives session, source, depth (0: itself, the
+    largest first in reading order) and error: `several bases`, `unavailable` or `cycle`. Every session has one base at
+    most, so the chains are followed by pointer doubling: a chain of n sessions takes log2(n) joins.
+    """
+    one = sessions.groupBy(session).agg(F.count(base).alias("_n"), F.min(base).alias("_base"))
+    known = one.select(F.col(session).alias("_base"), F.lit(True).alias("_known"))
+    one = written(one.join(known, "_base", "left").select(F.col(session).alias("s"), "_n", "_base", F.coalesce("_known", F.lit(False)).alias("_known")), "bases")
+    bad = F.when(F.col("_n") > 1, "several bases").when(F.col("_base").isNotNull() & ~F.col("_known"), "unavailable")
+    fault = one.select(F.col("s").alias("source"), bad.alias("error"))
+    # jumps of 2^k sessions and everything within 2^k steps
+    jump = one.filter("_n = 1 and _known").select("s", F.col("_base").alias("t"))
+    reach = written(one.select("s", F.col("s").alias("source"), F.lit(0).cast("bigint").alias("depth")), "reach")
+    step, count = 1, one.count()
+    while step <= count:
+        jump = written(jump, "jumps")
+        if jump.isEmpty():
+            break
+        farther = jump.join(reach.toDF("t", "source", "depth"), "t").select("s", "source", (F.col("depth") + step).alias("depth"))
+        reach = written(reach.unionByName(farther), "reach")
+        jump = jump.join(jump.toDF("t", "u"), "t").select("s", F.col("u").alias("t"))
+        step *= 2
+    looped = reach.filter("depth > 0 and s = source").select("s").distinct().withColumn("_cycle", F.lit(True))
+    # a session that reaches a cycle has one in its chain, too
+    cyclic = reach.join(looped.withColumnRenamed("s", "source"), "source").groupBy("s").agg(F.lit("cycle").alias("_cycle"))
+    first = reach.join(fault, "source").filter("error is not null").groupBy("s").agg(F.min_by("error", "depth").alias("_error"))
+    rows = reach.groupBy("s", "source").agg(F.min("depth").alias("depth"))
+    return rows.join(cyclic, "s", "left").join(first, "s", "left").select(F.col("s").alias(session), "source", "depth", F.coalesce("_cycle", "_error").alias("error"))
+
+
+def retained(ids: DataFrame, snapshots: DataFrame, key: str, order: str) -> DataFrame:
+    """Snapshots of the retained ids in the order of those (JN3)."""
+    return ids.join(snapshots, key).select(*ids.columns, *[c for c in snapshots.columns if c not in ids.columns])
+
+
+def by_locator(paths: DataFrame, manifest: DataFrame, path: str, locator: str, order: str, value: str, prefix: str = "library/") -> DataFrame:
+    """The first manifest row of each path, a leading `library/` of the locator set aside (JN18)."""
+    plain = lambda c: F.when(F.col(c).startswith(prefix), F.substring(F.col(c), len(prefix) + 1, 1 << 30)).otherwise(F.col(c))
+    rows = manifest.groupBy(plain(locator).alias("_at")).agg(F.min_by(value, order).alias(value))
+    return paths.withColumn("_at", plain(path)).join(rows, "_at", "left").drop("_at")
 
 
 def overlapping_paths(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
@@ -150,3 +197,13 @@ def cited_pages(links: DataFrame, url: str, locators: DataFrame, ref: str) -> Da
     """Citation links with a known reference and a page above zero (JN22)."""
     q = links.withColumn(ref, F.parse_url(F.col(url), F.lit("QUERY"), F.lit("ref"))).withColumn("page", F.expr(f"try_cast(parse_url({url}, 'QUERY', 'page') AS BIGINT)"))
     return q.filter("page > 0").join(locators, ref)
+
+
+def without(df: DataFrame, *columns: str) -> DataFrame:
+    """df without identity columns (PRJ3)."""
+    return df.drop(*columns)
+
+
+def orphans_of(keys: DataFrame, live: DataFrame, key: str, failures: DataFrame) -> DataFrame:
+    """Cache keys without a live source (JN6); none at all if the scan of the sources had failures. failures: one row."""
+    return keys.join(live.select(key).distinct(), key, "left_anti").crossJoin(F.broadcast(failures)).filter("failures = 0").drop("failures")

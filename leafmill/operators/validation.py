@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.structures import TOMBSTONE, tombstone_sha
+from ..functions.text import canonical_sha
+
 
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Adds `violations`: the sorted names of the rules that a row breaks; a rule that is null is broken (VAL1, VAL7)."""
@@ -75,11 +78,65 @@ def retention(payloads: DataFrame, at: str, running: Column, tombstoned: Column,
     return payloads.withColumn("candidate", old & ~F.coalesce(running, F.lit(False)) & ~F.coalesce(tombstoned, F.lit(False)))
 
 
-def removed(payloads: DataFrame, candidate: Column, payload: str, at: Column) -> DataFrame:
-    """Candidates' payloads replaced by tombstones with the hash, `released` the bytes saved, at least 0 (RET2)."""
-    stone = F.to_json(F.struct(F.lit("expired").alias("_trace_value"), F.sha2(payload, 256).alias("sha256"), F.date_format(at, "yyyy-MM-dd").alias("removed")))
-    new = F.when(candidate, stone).otherwise(F.col(payload))
-    return payloads.withColumn("released", F.when(candidate, F.greatest(F.octet_length(payload) - F.octet_length(stone), F.lit(0))).otherwise(0)).withColumn(payload, new)
+def removed(payloads: DataFrame, scan: DataFrame, key: list[str], payload: str, at: Column, policy: str = "full") -> DataFrame:
+    """Payloads of a scan replaced by tombstones, `released` the bytes saved, at least 0, and `fault` (RET2).
+
+    scan: key, original_file_sha256, original_value_sha256 of each candidate as they were found. What the payload is now is
+    checked against both before it is replaced; a payload that changed since, or is a tombstone already, stays and has a
+    fault (`changed`, `removed`).
+    """
+    found = payloads.join(scan.select(*key, F.col("original_file_sha256").alias("_file"), F.col("original_value_sha256").alias("_value")), key, "left")
+    value = canonical_sha(F.col(payload))
+    fault = F.when(F.col("_file").isNull(), None).when(tombstone_sha(F.col(payload)).isNotNull(), "removed").when(~((F.sha2(payload, 256) == F.col("_file")) & value.eqNullSafe(F.col("_value"))), "changed")
+    stone = F.to_json(
+        F.struct(
+            F.lit(TOMBSTONE).alias("_trace_value"), F.lit("retention").alias("reason"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("removed_at"), F.lit(policy).alias("payload_policy"),
+            F.octet_length(payload).alias("original_bytes"), F.col("_file").alias("original_file_sha256"), F.col("_value").alias("original_value_sha256"),
+        )
+    )
+    found = found.withColumn("fault", fault).withColumn("_stone", F.when(F.col("_file").isNotNull() & F.col("fault").isNull(), stone))
+    released = F.coalesce(F.greatest(F.octet_length(payload) - F.octet_length("_stone"), F.lit(0)), F.lit(0))
+    return found.withColumn("released", F.when(F.col("_stone").isNotNull(), released).otherwise(0)).withColumn(payload, F.coalesce("_stone", F.col(payload))).drop("_file", "_value", "_stone")
+
+
+def set_faults(sets: DataFrame, key: list[str]) -> DataFrame:
+    """The first fault of each set of members and exclusions (VAL3), null for none. sets: key, members, excluded, parent
+    (its parent's members, null for a set of its own), reason; all arrays of ids."""
+    size = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    m, x = F.coalesce("members", none), F.coalesce("excluded", none)
+    fault = (
+        F.when(F.size(F.array_distinct(m)) < F.size(m), "members repeat")
+        .when(F.size(F.array_distinct(x)) < F.size(x), "exclusions repeat")
+        .when(F.exists(x, lambda i: ~F.coalesce(i.rlike("^[0-9a-f]{64}$"), F.lit(False))), "invalid exclusion")
+        .when(F.col("parent").isNull() & ((size("excluded") > 0) | F.col("reason").isNotNull()), "exclusions without a parent")
+        .when(F.col("parent").isNotNull() & F.arrays_overlap(m, x), "members are excluded")
+        .when(F.col("parent").isNotNull() & (F.array_sort(F.array_union(m, x)) != F.array_sort(F.array_distinct("parent"))), "no partition of the parent")
+        .when(F.col("parent").isNotNull() & (F.size(x) > 0) & F.col("reason").isNull(), "exclusions without a reason")
+    )
+    return sets.select(*key, fault.alias("fault"))
+
+
+def runtime_context(c: Column) -> Column:
+    """Whether a text block is context that the program put in, not words of a user (FLT10)."""
+    end = F.regexp_replace(c, r"\s+$", "")
+    return F.coalesce((c.startswith("<runtime_context>\n") & end.endswith("</runtime_context>")) | (c.startswith('<world_state mode="') & end.endswith("</world_state>")), F.lit(False))
+
+
+def exposed(tools: DataFrame, planning: bool, reading: bool) -> DataFrame:
+    """Tools that may be offered (FLT12). tools: four flags `enabled`, `internal`, `writes`, `needs_library`."""
+    rule = F.col("enabled") & ~F.col("internal") & (~F.col("writes") | F.lit(not planning)) & (~F.col("needs_library") | F.lit(reading))
+    return tools.filter(F.coalesce(rule, F.lit(False)))
+
+
+def deleted_by_source(entries: DataFrame, gone: DataFrame, locator: str, fingerprint: str) -> DataFrame:
+    """Cache entries that stay when all of a source's entries of one extractor are deleted (RET5)."""
+    return entries.join(gone.select(locator, fingerprint).distinct(), [locator, fingerprint], "left_anti")
+
+
+def reusable(directories: DataFrame, wanted: DataFrame, key: str, tree_sha: str, path: str) -> DataFrame:
+    """The first directory in order of path with the wanted content, for each wanted key (RET7)."""
+    return wanted.join(directories.groupBy(tree_sha).agg(F.min(path).alias(path)), tree_sha, "left").select(key, path)
 
 
 def without_active(jobs: DataFrame, sessions: DataFrame, key: str, active: Column) -> DataFrame:

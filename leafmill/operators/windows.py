@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def ordered_log(log: DataFrame, *columns: str) -> DataFrame:
     """One row per entry of a session log (the first delivery), with `pos` in order of arrival."""
-    first = log.groupBy("session_id", "id").agg(F.min_by(F.struct(*columns, "received_at"), "received_at").alias("e"))
+    first = log.groupBy("session_id", "id").agg(F.min_by(F.struct(*dict.fromkeys([*columns, "received_at"])), "received_at").alias("e"))
     by = Window.partitionBy("session_id").orderBy("received_at", "id")
     return first.select("session_id", "id", "e.*").withColumn("pos", F.row_number().over(by).cast("bigint"))
 

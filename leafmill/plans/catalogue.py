@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import logs, more, relations, texts  # noqa: E402, F401
+from . import checks, files, logs, more, relations, states, texts, values  # noqa: E402, F401

@@ -236,10 +236,6 @@ def agg5_segment_coverage(spark, sf):
     return A.coverage(t.select("session_id", "segment_no"), t.filter("completed").select("session_id", "segment_no"), ["session_id"], "segment_no")
 
 
-@query("""SELECT library_id, CAST(count(DISTINCT session_id) AS BIGINT) AS sessions, CAST(count(*) AS BIGINT) AS entries, CAST(count(*) FILTER (is_error) AS BIGINT) AS errors FROM session_log GROUP BY 1""")
-def agg4_library_report(spark, sf):
-    return table(spark, sf, "session_log").groupBy("library_id").agg(F.count_distinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("entries"), F.count_if("is_error").alias("errors"))
-
 
 @query(f"""WITH {EVENTS} SELECT CAST(count(*) FILTER (event_type <> 'view' AND ts <= TIMESTAMP '2024-01-15') AS BIGINT) AS candidates, CAST(count(*) FILTER (event_type = 'view' AND ts <= TIMESTAMP '2024-01-15') AS BIGINT) AS running, CAST(sum(CASE WHEN event_type <> 'view' AND ts <= TIMESTAMP '2024-01-15' THEN strlen(props) ELSE 0 END) AS BIGINT) AS bytes, user_id FROM e GROUP BY user_id""")
 def ret1_retention_report(spark, sf):
@@ -248,11 +244,6 @@ def ret1_retention_report(spark, sf):
     return e.groupBy("user_id").agg(F.count_if("candidate").alias("candidates"), F.count_if(old & (F.col("event_type") == "view")).alias("running"), F.sum(F.when(F.col("candidate"), F.octet_length("props")).otherwise(0)).alias("bytes"))
 
 
-@query()
-def ret2_tombstones(spark, sf):
-    e = V.retention(events(spark, sf), "ts", F.col("event_type") == "view", F.lit(False), F.lit("2024-02-14").cast("timestamp_ntz"), 30)
-    return V.removed(e, F.col("candidate"), "props", F.lit("2024-02-14").cast("date")).select("event_id", "props", "released", S.tombstone_sha(F.col("props")).alias("sha256"))
-
 
 @query(f"""WITH {LOG}, d AS (SELECT session_id, id, json_extract_string(input, '$.query') AS query, CASE WHEN json_type(input, '$.page') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract(input, '$.page') AS BIGINT) ELSE 0 END AS page FROM log WHERE type = 'tool_use' AND input IS NOT NULL)
 SELECT session_id, id, query, page FROM d""")
@@ -304,16 +295,6 @@ def stm10_interrupted(spark, sf):
     return tails.interrupted(stm11_last_state(spark, sf), "type", ["turn_started"]).select("session_id", "type")
 
 
-@query(f"""WITH {EVENTS}, l AS (SELECT *, lag(props) OVER (PARTITION BY user_id ORDER BY seq) AS old FROM e) SELECT event_id, CASE WHEN old IS NULL THEN replace(props, ' ', '') WHEN old = props THEN NULL ELSE replace(props, ' ', '') END AS patch FROM l""")
-def jsn1_patches(spark, sf):
-    e = events(spark, sf).withColumn("old", F.lag("props").over(Window.partitionBy("user_id").orderBy("seq")))
-    return e.select("event_id", S.patch_between("old", "props").alias("patch"))
-
-
-@query(f"WITH {EVENTS} SELECT CAST(user_id AS VARCHAR) AS user_id, replace(max_by(props, seq), ' ', '') AS state FROM e GROUP BY 1")
-def stm3_state_fold(spark, sf):
-    e = events(spark, sf).withColumn("mode", F.when(F.col("seq") == 1, "full").otherwise("patch"))
-    return S.folded_state(e, "user_id", "seq", "mode", "props")
 
 
 @query("SELECT event_id, sha256(replace(props, ' ', '')) AS sha FROM events")
@@ -321,10 +302,6 @@ def hsh2_canonical_sha(spark, sf):
     return table(spark, sf, "events").select("event_id", X.canonical_sha(F.col("props")).alias("sha"))
 
 
-@query()
-def jsn5_sanitized(spark, sf):
-    return table(spark, sf, "session_log").filter("input is not null").select("session_id", "id", S.sanitized_payload("input").alias("payload"), S.content_shape("input").alias("shape"))
-
 
 @query(f"""WITH {LOG} SELECT session_id, id, epoch_us(CAST(ts AS TIMESTAMPTZ)) AS micros FROM log WHERE regexp_matches(ts, '(Z|[+-]\\d{{2}}:?\\d{{2}})$')""")
 def dt1_instants(spark, sf):
@@ -336,18 +313,3 @@ def dt1_instants(spark, sf):
 def stm9_deliveries(spark, sf):
     rows = table(spark, sf, "session_log").groupBy("session_id", "id").agg(F.count(F.lit(1)).alias("n"))
     return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("entries"), (F.sum("n") - F.count(F.lit(1))).alias("delivered_again"))
-
-
-@query("SELECT DISTINCT event_id, user_id, event_type FROM events")
-def stm2_stream_once(spark, sf):
-    """The events as a file stream, each once, drained into a table."""
-    from tempfile import mkdtemp
-    from uuid import uuid4
-
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("at", F.col("ts").cast("timestamp"))
-    rows = tails.once(stream, ["event_id"], "at").select("event_id", "user_id", "event_type")
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir() or "file://" + mkdtemp(prefix="leafmill-")
-    name = f"events_once_{uuid4().hex}"
-    return tails.drained(rows, name, f"{folder}/{name}")

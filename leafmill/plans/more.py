@@ -38,11 +38,6 @@ def jn7_papers_without_methods(spark, sf):
     return table(spark, sf, "papers").select("paper_id").distinct().join(table(spark, sf, "contributions").filter("type = 'method'"), "paper_id", "left_anti")
 
 
-@query("SELECT library_id, CAST(count(DISTINCT paper_id) AS BIGINT) AS papers, count(DISTINCT paper_id) > 5 AS over FROM papers GROUP BY 1")
-def agg8_bounded_sets(spark, sf):
-    p = table(spark, sf, "papers").groupBy("library_id").agg(F.count_distinct("paper_id").alias("papers"))
-    return p.withColumn("over", F.col("papers") > 5)
-
 
 @query(f"""WITH {EVENTS}, o AS (SELECT *, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY seq), true) AS ordered FROM e)
 SELECT user_id, round(coalesce(avg(value), 0), 4) AS mean, max(value) AS most, round(coalesce(avg(value) FILTER (event_type = 'click'), 0), 4) AS click_mean, bool_and(ordered) AS in_order FROM o GROUP BY 1""")
@@ -111,53 +106,8 @@ def stm5_activity_fold(spark, sf):
     return tails.activity_fold(e, ["user_id", "event_type"], "seq").select("user_id", "event_type", "first_seen", F.col("title").isNotNull().alias("phase_known"), "phase", F.sha2("text", 256).alias("text_sha"))
 
 
-@query("""SELECT paper_id, CASE WHEN n IS NULL THEN 'miss' WHEN n % 3 = 0 THEN 'incompatible' WHEN n % 3 = 1 THEN 'corrupt' ELSE 'hit' END AS state FROM (SELECT DISTINCT paper_id FROM papers) p LEFT JOIN (SELECT paper_id, count(*) AS n FROM contributions GROUP BY 1) c USING (paper_id)""")
-def ret4_cache_states(spark, sf):
-    """The contributions of a paper play its cache entry: their number decides what is wrong with it."""
-    wanted = table(spark, sf, "papers").select("paper_id").distinct().withColumn("fp", F.lit("f1"))
-    n = table(spark, sf, "contributions").groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"))
-    manifests = n.select("paper_id", F.when(F.col("n") % 3 == 0, "f0").otherwise("f1").alias("fp"), F.lit("h").alias("sha256"))
-    files = n.select("paper_id", F.when(F.col("n") % 3 == 1, "x").otherwise("h").alias("sha256"))
-    return V.cache_state(wanted, manifests, files, "paper_id", "fp").select("paper_id", "state")
-
 
 @query(f"WITH {EVENTS} SELECT e.user_id, CAST(count(*) AS BIGINT) AS kept FROM e WHERE user_id NOT IN (SELECT user_id FROM e WHERE event_type = 'error' AND value >= 150) GROUP BY 1")
 def ret6_without_active(spark, sf):
     e = events(spark, sf)
     return V.without_active(e, e, "user_id", (F.col("event_type") == "error") & (F.col("value") >= 150)).groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
-
-
-@query("SELECT doc_id, CASE WHEN length(text) > 4000 THEN '… ' || right(text, 4000) ELSE text END AS tail FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(0))")
-def str26_tails(spark, sf):
-    d = table(spark, sf, "documents").filter(F.col("text").isNotNull() & ~F.col("text").contains("\x00"))
-    return d.select("doc_id", X.tail(F.col("text")).alias("tail"))
-
-
-@query("SELECT paper_id, coalesce(len(authors), 0) AS authors, array_to_string(list_distinct(authors), '; ') IS NOT NULL AS named FROM papers WHERE authors IS NOT NULL")
-def prj1_author_counts(spark, sf):
-    p = table(spark, sf, "papers").filter("authors is not null")
-    return p.select("paper_id", F.size("authors").cast("bigint").alias("authors"), F.concat_ws("; ", F.array_distinct("authors")).isNotNull().alias("named"))
-
-
-@query()
-def str8_capped(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.capped(F.col("text"), 2000).alias("text"))
-
-
-@query()
-def hsh3_ascii_sha(spark, sf):
-    return table(spark, sf, "session_log").filter("input is not null").select("session_id", "id", S.canonical_sha_ascii("input").alias("sha"))
-
-
-@query()
-def stm_windowed_counts(spark, sf):
-    """Hourly counts of the event stream with a watermark, drained; windows that the watermark has not passed stay open."""
-    from tempfile import mkdtemp
-    from uuid import uuid4
-
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("at", F.col("ts").cast("timestamp"))
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir() or "file://" + mkdtemp(prefix="leafmill-")
-    name = f"hourly_{uuid4().hex}"
-    return tails.drained(tails.windowed(stream, "at", ["event_type"], "1 hour"), name, f"{folder}/{name}")

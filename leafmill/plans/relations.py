@@ -58,10 +58,6 @@ def jn5_sections_without_chunks(spark, sf):
     return J.missing(expected, table(spark, sf, "chunks").filter("section_title is not null"), ["paper_id", "section_title"]).select("section_id")
 
 
-@query("SELECT DISTINCT paper_id FROM documents WHERE paper_id IS NOT NULL AND paper_id NOT IN (SELECT paper_id FROM papers)")
-def jn6_orphans(spark, sf):
-    return J.orphans(table(spark, sf, "documents").filter("paper_id is not null").select("paper_id").distinct(), table(spark, sf, "papers").select("paper_id"), "paper_id", 0)
-
 
 @query("SELECT paper_id, bool_or(paper_id IN (SELECT paper_id FROM contributions WHERE type = (SELECT min(type) FROM contributions))) AS included FROM papers GROUP BY 1")
 def jn8_partition(spark, sf):
@@ -155,11 +151,6 @@ def agg6_latest_paper(spark, sf):
     return p.groupBy("paper_id").agg(F.max_by("venue", F.when(F.col("venue").isNotNull(), F.col("ingested_at"))).alias("venue"), at)
 
 
-@query("""SELECT o_custkey, CAST(count(*) AS BIGINT) AS orders, round(sum(o_totalprice), 2) AS total, epoch_us(max(o_orderdate)) AS latest FROM orders GROUP BY 1""")
-def agg9_conversation_rollup(spark, sf):
-    o = table(spark, sf, "orders")
-    return o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.unix_micros(F.max("o_orderdate").cast("timestamp")).alias("latest"))
-
 
 @query("""SELECT l_returnflag, CAST(count(*) AS BIGINT) AS items, round(count(*) FILTER (v = 'C') / count(*), 6) AS strict, round((count(*) FILTER (v = 'C') + 0.5 * count(*) FILTER (v = 'P')) / count(*), 6) AS weighted, round(count(*) FILTER (v IS NOT NULL) / count(*), 6) AS completion
 FROM (SELECT l_returnflag, CASE WHEN l_quantity > 30 THEN 'C' WHEN l_quantity > 20 THEN 'P' WHEN l_quantity > 5 THEN 'I' END AS v FROM lineitem) GROUP BY 1""")
@@ -207,11 +198,6 @@ def srt1_latest_jobs(spark, sf):
     return table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT o_orderkey, true AS has_more FROM orders ORDER BY o_orderkey LIMIT 20")
-def srt7_page(spark, sf):
-    rows, _ = A.page_of(table(spark, sf, "orders").select("o_orderkey"), [F.col("o_orderkey")], 20)
-    return rows.select("o_orderkey", "has_more")
-
 
 @query("""WITH b AS (SELECT section_id, paper_id, text, coalesce(sum(length(text)) OVER (PARTITION BY paper_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sections) SELECT section_id, CAST(length(substring(text, 1, CAST(3000 - before AS INT))) AS BIGINT) AS chars FROM b WHERE before < 3000""")
 def srt9_char_budget(spark, sf):

@@ -19,12 +19,6 @@ def hsh1_duplicate_content(spark, sf):
     return d.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")).filter("copies > 1")
 
 
-@query("SELECT doc_id, left(sha256(text), 12) AS short_id, CAST(strlen(text) AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL")
-def src7_inventory(spark, sf):
-    d = table(spark, sf, "documents").filter("text is not null")
-    return d.select("doc_id", F.substring(F.sha2("text", 256), 1, 12).alias("short_id"), F.octet_length("text").cast("bigint").alias("bytes"))
-
-
 GARBLE = "[\\x{FFFD}\\x{E000}-\\x{F8FF}\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"
 
 
@@ -133,11 +127,6 @@ def str23_labelled_numbers(spark, sf):
     return t.select("paper_id", X.labelled_number(F.col("info"), "Pages").alias("pages")).filter("pages is not null")
 
 
-@query("SELECT paper_id, title AS latex FROM (SELECT DISTINCT paper_id, trim(title) AS title FROM papers WHERE title IS NOT NULL)")
-def str25_bare_latex(spark, sf):
-    t = table(spark, sf, "papers").filter("title is not null").select("paper_id", F.trim("title").alias("title")).distinct()
-    return t.select("paper_id", X.bare_latex(F.concat(F.lit("\\("), "title", F.lit("\\)"))).alias("latex"))
-
 
 @query("SELECT section_id, sha256(string_agg(text, chr(10) || chr(10))) AS sha FROM sections WHERE text IS NOT NULL GROUP BY 1")
 def src13_page_text(spark, sf):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +36,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: that of spark.checkpoint.dir; one of our own only in a local session."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="leafmill-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows of df, from a Parquet table in the shared folder that goes away with the session.
+
+    The table outlives any executor, is read with column pruning and gives the optimizer real sizes.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/leafmill-{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    gone_with_session(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def gone_with_session(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
