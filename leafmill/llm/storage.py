@@ -1,31 +1,5 @@
 """Cutting lineage with tables in the folder that all executors share."""
 
-from __future__ import annotations
+from ..session import shared_folder, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where the session names none."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="leafmill-")
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows of df, from a Parquet table in the shared folder that goes away with the session.
-
-    The table outlives any executor, is read with column pruning and gives the optimizer real sizes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/leafmill-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.parquet(path)
+__all__ = ["shared_folder", "written"]
