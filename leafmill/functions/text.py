@@ -246,7 +246,7 @@ def iso_time(micros: Column) -> Column:
 
 def without_surrogates(c: Column) -> Column:
     """Text from bytes; what is no valid UTF-8, lone surrogates included, becomes the replacement character (STR11)."""
-    return F.decode(c, "utf-8")
+    return F.make_valid_utf8(c.cast("string"))
 
 
 def skill_header(c: Column, name: Column) -> Column:

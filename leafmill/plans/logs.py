@@ -176,7 +176,7 @@ def win19_rates(spark, sf):
     return e.filter("rate is not null").select("event_id", (F.round("rate", 2) + 0.0).alias("rate"), F.floor("gap").alias("gap"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t FROM events), k AS (SELECT user_id, min(t) AS t FROM e GROUP BY 1 UNION ALL SELECT user_id, n FROM (SELECT k.user_id, (SELECT min(e.t) FROM e WHERE e.user_id = k.user_id AND e.t >= k.t + 3600000000) AS n FROM k) WHERE n IS NOT NULL) SELECT user_id, t AS "at" FROM k""")
 def win20_thinned(spark, sf):
     e = table(spark, sf, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return W.thinned(e, "user_id", "at", 3_600_000_000)

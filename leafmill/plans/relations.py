@@ -15,10 +15,10 @@ from ..session import table
 from .catalogue import query
 
 
-@query("SELECT s.section_id, CAST(p AS BIGINT) AS page FROM sections s, unnest(generate_series(s.page_start, coalesce(s.page_end, s.page_start))) t(p) WHERE s.page_start IS NOT NULL AND s.title = 'Abstract'")
+@query("SELECT s.section_id, CAST(p AS BIGINT) AS page FROM sections s, unnest(generate_series(s.page_start, coalesce(s.page_end, s.page_start))) t(p) WHERE s.page_start IS NOT NULL")
 def jn10_section_pages(spark, sf):
     """Sections x the pages of their paper that lie in their range."""
-    s = table(spark, sf, "sections").filter("page_start is not null and title = 'Abstract'").withColumn("last", F.coalesce("page_end", "page_start"))
+    s = table(spark, sf, "sections").filter("page_start is not null").withColumn("last", F.coalesce("page_end", "page_start"))
     pages = s.groupBy("paper_id").agg(F.min("page_start").alias("a"), F.max("last").alias("b")).filter("b >= a").select("paper_id", F.explode(F.sequence("a", "b")).alias("page"))
     return J.in_range(pages, s.select("paper_id", "section_id", "page_start", "last"), "paper_id", "page", "page_start", "last").select("section_id", "page")
 
@@ -300,7 +300,8 @@ def snk5_kept_revisions(spark, sf):
     return V.kept_revisions(p, ["paper_id"], ["ingested_at"]).select("paper_id", "keep", F.unix_micros(F.col("ingested_at").cast("timestamp")).alias("at"))
 
 
-@query()
+@query("""WITH p AS (SELECT paper_id, max_by(struct_pack(title := title, authors := authors), ingested_at) AS p FROM papers GROUP BY 1), c AS (SELECT paper_id, string_agg('- ' || claim, chr(10) ORDER BY ord, contribution_id) AS items FROM contributions GROUP BY 1)
+SELECT paper_id, '# ' || p.title || chr(10) || chr(10) || '**Authors:** ' || coalesce(array_to_string(p.authors, ', '), '') || chr(10) || chr(10) || '## Contributions' || chr(10) || items AS markdown FROM p JOIN c USING (paper_id)""")
 def snk11_reports(spark, sf):
     from ..sources.logs import report
 

@@ -103,7 +103,16 @@ def test_references_are_inlined():
 
 def test_sanitized_payloads():
     out = S.sanitized({"X-Api-Key": "k", "text": "a" * 3000, "many": list(range(60)), "wide": {str(i): i for i in range(120)}})
-    assert out["X-Api-Key"] == S.REDACTED and out["text"]["length"] == 3000 and out["many"][-1] == {"_trace_omitted_items": 10} and out["wide"]["_trace_omitted_keys"] == 20
+    assert out["X-Api-Key"] == S.REDACTED and out["text"]["length"] == 3000 and out["many"][-1] == {"_trace_value": "truncated_items", "omitted": 10} and out["wide"]["_trace_omitted_keys"] == 20
+    assert S.sanitized({"Set-Cookie": "a", "Proxy-Authorization": "b", "note": "Bearer abcdefgh and token password=x"}) == {"Set-Cookie": S.REDACTED, "Proxy-Authorization": S.REDACTED, "note": "Bearer [REDACTED] and token password=[REDACTED]"}
+    long = S.sanitized("password=" + "x" * 3000)
+    assert long == "password=[REDACTED]"  # redacted before it is cut
+    deep = 1
+    for _ in range(9):
+        deep = [deep]
+    assert S.canonical(S.sanitized(deep)).count("[") == 8 and "max_depth" in S.canonical(S.sanitized(deep))
+    whole = S.bounded_payload({str(i): {str(j): "y" * 1900 for j in range(20)} for i in range(10)})
+    assert whole["_trace_value"] == "truncated_payload" and len(whole["preview"]) == 16_384 and whole["sanitized_bytes"] > 262_144
 
 
 def test_strict_fields_do_not_cast(spark):
@@ -199,6 +208,60 @@ def test_stream_keeps_each_event_once(spark, tmp_path):
     assert sorted((r.k, r.event_id) for r in got.collect()) == sorted((i % 2, i) for i in range(10))
 
 
+def test_cursor_takes_chunks_in_any_order(spark, tmp_path):
+    """Small Arrow chunks of one trigger, and rows of a second trigger behind and before the cursor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        one = spark.createDataFrame([(0, n) for n in (1, 5, 9, 2, 3, 10, 5)], "k bigint, event_id bigint").coalesce(1)
+        one.write.parquet(str(tmp_path / "in"))
+        rows = lambda: sorted(r.event_id for r in tails.drained(tails.advancing(tails.tail(spark, str(tmp_path / "in"), one.schema), "k", "event_id"), "cursor", str(tmp_path / "out")).collect())
+        assert rows() == [1, 2, 3, 5, 9, 10]
+        spark.createDataFrame([(0, 4), (0, 11)], "k bigint, event_id bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        assert rows() == [1, 2, 3, 5, 9, 10, 11]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    links = spark.range(40).select(F.col("id").alias("s"), (F.col("id") + 1).alias("t"))
+    assert J.closure(spark, links, "s", "t", spark.range(1).toDF("node")).agg(F.max("steps")).first()[0] == 40
+
+
+def test_inherited_sessions(spark):
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "gone"), ("e", "a"), ("e", "b"), ("x", "y"), ("y", "x"), ("z", "x"), ("f", "d")]
+    out = J.inherited(spark, spark.createDataFrame(rows, "session string, base string"), "session", "base").collect()
+    assert {(r.source, r.depth) for r in out if r.session == "c"} == {("c", 0), ("b", 1), ("a", 2)}
+    error = {r.session: r.error for r in out}
+    assert error == {"a": None, "b": None, "c": None, "d": "unavailable", "e": "several bases", "x": "cycle", "y": "cycle", "z": "cycle", "f": "unavailable"}
+
+
+def test_flushes(spark):
+    rows = [("j", 1, 50, True, 0), ("j", 2, 50, True, 10), ("j", 3, 5, True, 20), ("j", 4, 0, False, 30), ("j", 5, 5, True, 40), ("j", 6, 5, True, 200), ("j", 7, 5, True, 210)]
+    df = spark.createDataFrame(rows, "job string, seq int, n int, delta boolean, at bigint")
+    got = tails.flush_groups(df, ["job"], "seq", F.col("n"), F.col("delta"), F.col("at")).orderBy("seq").collect()
+    assert [r.flush for r in got] == [0, 0, 1, 1, 2, 2, 3]
+
+
+def test_set_faults(spark):
+    h = "a" * 64
+    rows = [("ok", [h], [], None, None), ("twice", [h, h], [], None, None), ("odd", [], ["x"], [h], "r"), ("own", [h], ["b" * 64], None, None), ("part", [h], [], [h, "b" * 64], None), ("why", [h], ["b" * 64], [h, "b" * 64], None), ("fine", [h], ["b" * 64], [h, "b" * 64], "r")]
+    df = spark.createDataFrame(rows, "k string, members array<string>, excluded array<string>, parent array<string>, reason string")
+    assert {r.k: r.fault for r in V.set_faults(df, ["k"]).collect()} == {"ok": None, "twice": "members repeat", "odd": "invalid exclusion", "own": "exclusions without a parent", "part": "no partition of the parent", "why": "exclusions without a reason", "fine": None}
+
+
+def test_set_states(spark):
+    rows = [("l", "a", 1, "created", None), ("l", "b", 2, "derived", "a"), ("l", "b", 3, "evidence_recorded", None), ("l", "b", 4, "completed", None), ("l", "c", 5, "derived", "d"), ("l", "d", 6, "created", None), ("l", "d", 7, "completed", None), ("l", "e", 8, "evidence_recorded", None), ("l", "f", 9, "created", "a")]
+    df = spark.createDataFrame(rows, "log string, id string, seq int, name string, parent string")
+    got = {r.id: (r.completed, r.error) for r in tails.set_states(df, ["log", "id"], "seq").collect()}
+    assert got == {"a": (False, None), "b": (True, None), "c": (False, "unknown parent"), "d": (True, "completed before evidence"), "e": (False, "unknown set"), "f": (False, "created with a parent")}
+
+
+def test_broken_bytes_become_readable(spark):
+    df = spark.createDataFrame([(bytearray(b"a\xed\xa0\x80b"),), (None,)], "b binary")
+    first, none = (r.t for r in df.select(X.without_surrogates(F.col("b")).alias("t")).collect())
+    assert first[0] == "a" and first[-1] == "b" and set(first[1:-1]) == {"\ufffd"} and none is None
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "k string, o int, s string, n bigint")
     assert W.run_length(df, ["k"], ["o"], "s").count() == 0
