@@ -3,23 +3,25 @@
 Two records are linked if the Jaccard similarity of their sets of word triples is at least one half.
 
 The fingerprint of a record is the set of its hashed triples, read as a bit vector over the hash space.  The bit
-vector is cut into `SEGMENTS` segments and each record is embedded as its bit counts per segment.  The Manhattan distance of
-two embeddings is a lower bound of the number of differing bits, and a similarity of one half allows at most a third
-of the bits of both records to differ, so a pair beyond that bound cannot be a link.
-
-At this threshold the embedding alone does not separate records well enough for a grid over the whole space: a cell
-would have to be so wide that it holds most of the records.  The candidates come from the content instead, by an exact
-prefix filter.  All triples have one order, rare ones first; how common a triple is comes from a count sketch of fixed
-size over all records, and any order is right, a good one only saves work.  With n triples of which the pair shares at
-least a third of both sizes together, the first shared triple stands in the first half of the longer record and in the
-first third of the shorter one; so do the first `MEETINGS` shared ones, as many places further.  So a record lies in the
-cell of every triple of its first half and those places, and two records are a candidate if they meet in so many cells
-(more of a long pair, fewer if the pair need not share so many) in which what follows in either of them is still long enough.  A triple of one record alone needs no
-cell; a cell of very many records is compared in pieces, every piece with every other one.  No pair is left out.
-Candidates pass the Manhattan bound and are then verified exactly on their whole sets.
-
-Records with equal sets are one class; one representative of the class is compared, the members are joined to its links
-at the end.
+vector is cut into segments and a record is embedded as its bit counts per segment.  The Manhattan distance of two
+embeddings is a lower bound of the number of differing bits, and a similarity of one half allows at most a third of the
+bits of both records to differ, so a pair beyond that bound cannot be a link.
+
+The embedding is used at two widths.  In the finest one a segment is one hash class, its count is 0 or 1, and the grid
+over it has one cell for each segment with a count of 1.  Distance and sizes bound how many of these cells a pair must
+share: n and m triples, at least (n + m) / 3 cells, and n and m within a factor of two.  The segments have one order, rare
+ones first; how common a segment is comes from a count sketch of fixed size over all records, and any order is right, a
+good one only saves work.  Then the first shared cell of a pair stands in the first half of the longer record and in the
+first third of the shorter one; so do the first `MEETINGS` shared ones, as many places further.  So a record lies in
+the cells of its first half and those places, and two records are a candidate if they meet in so many cells (more of a
+long pair, fewer if the pair need not share so many) in which what follows in either of them is still long enough.  A
+segment of one record alone needs no cell; a cell of very many records is compared in pieces, every piece with every other
+one.  No pair is left out.  In the coarse embedding of `SEGMENTS` segments the Manhattan bound is then tested for each
+candidate, and what is left is verified on whole sets of 50-bit hashes.
+
+A cell's rows travel packed: a block holds the cells of one shard of many records in order, as differences and byte planes,
+compressed.  What is kept of a cell's hash inside a shard is short, so cells may fall together, which adds candidates and
+loses none.
 
 Results by case: null texts and texts of under three words have no triples and no links; a re-delivered id is one record;
 an empty table gives no rows; other columns are not read.
@@ -32,13 +34,13 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .storage import written
 
-SEGMENTS, WIDTH = 128, 1 << 22
+SEGMENTS, WIDTH = 128, 1 << 21
 #: A cell of more records than this by the sketch is compared in pieces of about so many.
 HOT = 8192
 #: In how many cells a pair must meet: so many, or one for so many triples of both, if that is more.
@@ -48,7 +50,9 @@ BROADCAST = 1_000_000
 WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
 _LOW = np.uint64((1 << 50) - 1)
 _BLOCKS = 64
-_CELL, _ONE = np.uint64((1 << 52) - 1), np.uint64(8)  # 8: a count of one as the sketch packs it
+_ONE = np.uint64(8)  # a count of one as the sketch packs it
+#: Cells of one shard, bits that are kept of a cell inside it, cells that a task packs at once, pairs that it merges at once.
+SHARD, KEPT, FLUSH, MERGE = 1_000_000, 28, 1_000_000, 4_000_000
 
 
 class _Hashes(dict):
@@ -103,23 +107,61 @@ def _counts(packed: bytes) -> np.ndarray:
     return np.exp2(np.frombuffer(packed, np.uint8) / 8.0) - 1.0
 
 
-def sketch(records: DataFrame) -> bytes:
-    """How many records have a triple of each of `WIDTH` hash classes, one byte each on a logarithmic scale.
+def _arrow(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names=names)
 
-    Every task counts all its records in one array; the arrays are added up by block in the cluster, and the driver
-    gets WIDTH bytes whatever the size of the corpus.
+
+def _bytes_of(rows: np.ndarray) -> pa.Array:
+    """A binary column of the rows of a matrix of bytes."""
+    offsets = pa.py_buffer((np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+FIRST = "kind int, id bigint, n int, class_hash bigint, counts binary, block int, sketch binary"
+
+
+def first_look(records: DataFrame) -> DataFrame:
+    """In one pass over the texts: n, class_hash and counts (the coarse embedding: bit counts of the segments up to three,
+    two bits each) of every record, and blocks of the count sketch of each task.
+
+    Every task counts all its records in one array of `WIDTH` hash classes and packs it on a logarithmic scale.
     """
 
-    def count(batches):
+    def run(batches):
+        names = [c.split()[0] for c in FIRST.split(", ")]
         total = np.zeros(WIDTH, np.int32)
         for batch in batches:
             for part in _parts(batch):
-                low, _ = triples(part.column(0).to_pylist())
-                at, times = np.unique((low % np.uint64(WIDTH)).astype(np.int32), return_counts=True)
-                total[at] += times.astype(np.int32)
+                low, sizes = triples(part.column(2).to_pylist())
+                keep = np.flatnonzero(sizes)
+                if not len(keep):
+                    continue
+                np.add.at(total, (low % np.uint64(WIDTH)).astype(np.int64), 1)
+                n = sizes[keep]
+                starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+                whole = np.add.reduceat(_mix(low, 77), starts)
+                rows = pa.array(keep)
+                none = pa.nulls(len(keep), pa.int32()), pa.nulls(len(keep), pa.binary())
+                yield _arrow(names, part.column(0).take(rows), part.column(1).take(rows), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), _bytes_of(_embedded(low, n)), *none)
         blocks = total.reshape(_BLOCKS, -1)
         used = [i for i in range(_BLOCKS) if blocks[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([_packed_counts(blocks[i]) for i in used], pa.binary())], names=["block", "counts"])
+        nulls = [pa.nulls(len(used), t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())]
+        yield _arrow(names, *nulls, pa.array(used, pa.int32()), pa.array([_packed_counts(blocks[i]) for i in used], pa.binary()))
+
+    return records.select("kind", "id", "text").mapInArrow(run, FIRST)
+
+
+def _embedded(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Counts of the segments of each record, four to a byte; cutting a count off at three keeps the distance a lower bound."""
+    owner = np.repeat(np.arange(len(n)), n)
+    segment = np.bincount(owner * SEGMENTS + (_mix(low, 99) % np.uint64(SEGMENTS)).astype(np.int64), minlength=len(n) * SEGMENTS)
+    few = np.minimum(3, segment.reshape(len(n), SEGMENTS)).astype(np.uint8)
+    return (few[:, ::4] << 6) | (few[:, 1::4] << 4) | (few[:, 2::4] << 2) | few[:, 3::4]
+
+
+def sketch(first: DataFrame) -> bytes:
+    """How many records have a triple of each hash class, one byte each. The blocks of the tasks are added up in two rounds, so
+    that no task reads those of all others; the driver gets WIDTH bytes whatever the size of the corpus."""
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -127,102 +169,165 @@ def sketch(records: DataFrame) -> bytes:
             for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n = _counts(packed)
                 sums[block] = sums[block] + n if block in sums else n
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed_counts(n) for n in sums.values()], pa.binary())], names=["block", "counts"])
+        yield _arrow(["block", "counts"], pa.array(list(sums), pa.int32()), pa.array([_packed_counts(n) for n in sums.values()], pa.binary()))
 
     schema = "block int, counts binary"
-    rows = records.select("text").mapInArrow(count, schema).repartition(8, "block").mapInArrow(add, schema).collect()
+    # the first round adds up what a task reads of the written table, and nothing is shuffled in it
+    blocks = first.filter("block is not null").select("block", F.col("sketch").alias("counts")).mapInArrow(add, schema)
+    rows = blocks.repartition(_BLOCKS, "block").mapInArrow(add, schema).collect()
     by = {r["block"]: bytes(r["counts"]) for r in rows}
     return b"".join(by.get(i, bytes(WIDTH // _BLOCKS)) for i in range(_BLOCKS))
 
 
-def fingerprints(records: DataFrame, counted) -> DataFrame:
-    """kind, id, n, class_hash, skipped, cells, counts (bit counts of the segments up to three, two bits each).
-
-    cells: the triples of the first half of a record and those after it that meetings need, in their order over the corpus, without the `skipped` first ones
-    that no other record has. A cell is kind (from bit 52), how common (from bit 44) and 44 bits of the triple's hash.
-    """
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Integer arrays as byte planes, compressed; arrays in ascending order as differences."""
+    head, planes = [], []
+    for x in arrays:
+        x = x.astype(np.int64)
+        rising = bool(len(x)) and bool((x[1:] >= x[:-1]).all())
+        if rising:
+            x = np.diff(x, prepend=0)
+        head += [len(x), int(rising)]
+        planes.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
+    raw = np.array(head, np.int64).tobytes() + b"".join(planes)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, count: int) -> list[np.ndarray]:
+    raw = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    head, at, out = np.frombuffer(raw, np.int64, 2 * count), 16 * count, []
+    for k in range(count):
+        n, rising = int(head[2 * k]), head[2 * k + 1]
+        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.int64).ravel()
+        out.append(np.cumsum(x) if rising else x)
+        at += 8 * n
+    return out
+
+
+def _cells(low, n, kind, ids, common):
+    """cell (a hash), owner and at (four times the place, and the side of a pair of pieces) of every row of a cell."""
+    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    owner = np.repeat(np.arange(len(n)), n)
+    usual = common[(low % np.uint64(WIDTH)).astype(np.int64)].astype(np.uint64)
+    # triples of equal 44 bits count as one that occurs twice, which leaves the filter exact
+    order = (owner.astype(np.uint64) << np.uint64(52)) | (usual << np.uint64(44)) | (low >> np.uint64(6))
+    order.sort()
+    place = np.arange(len(low)) - np.repeat(starts, n)
+    usual = (order >> np.uint64(44)) & np.uint64(255)
+    chosen = np.flatnonzero((place < np.repeat(n // 2 + np.maximum(MEETINGS, 3 * n // LONG), n)) & (usual > _ONE))
+    owner, place, usual = owner[chosen], place[chosen], usual[chosen]
+    cell = _mix(order[chosen] & np.uint64((1 << 44) - 1), 21) ^ _mix(kind[owner].astype(np.uint64), 22)
+    # a hot cell in pieces: a record goes to the pairs of its own piece with every piece, on side 0 or 1, or 2 with itself
+    pieces = np.maximum(1, np.ceil((np.exp2(usual / 8.0) - 1) / HOT)).astype(np.int64)
+    own = (_mix(ids[owner].view(np.uint64), 23) % pieces.astype(np.uint64)).astype(np.int64)
+    row = np.repeat(np.arange(len(cell)), pieces)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    own = own[row]
+    hot = pieces[row] > 1
+    both = np.minimum(own, other) * 1_000_003 + np.maximum(own, other)
+    cell = np.where(hot, _mix(cell[row] + both.astype(np.uint64), 24), cell[row])
+    return cell, owner[row], 4 * place[row] + np.where(own < other, 0, np.where(own > other, 1, 2))
+
+
+def packed_cells(records: DataFrame, common, shards: int) -> DataFrame:
+    """shard, block: the rows of the cells of all records (kind, id, text)."""
+    shift = np.uint64(64 - (shards - 1).bit_length())
+
+    def pack(held):
+        kind, ids, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+        base = np.cumsum([0] + [len(h[0]) for h in held])
+        cell = np.concatenate([h[3] for h in held])
+        owner = np.concatenate([h[4] + b for h, b in zip(held, base)])
+        at = np.concatenate([h[5] for h in held])
+        order = np.argsort(cell)
+        cell, owner, at = cell[order], owner[order], at[order]
+        shard = (cell >> shift).astype(np.int64) if shards > 1 else np.zeros(len(cell), np.int64)
+        short = ((cell << (np.uint64(64) - shift if shards > 1 else np.uint64(0))) >> np.uint64(64 - KEPT)).astype(np.int64)
+        borders = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+        blocks = []
+        for x, y in zip(borders, [*borders[1:], len(cell)]):
+            used, local = np.unique(owner[x:y], return_inverse=True)
+            rank = np.argsort(ids[used], kind="stable")  # in the order of ids, which packs better
+            place = np.empty(len(rank), np.int64)
+            place[rank] = np.arange(len(rank))
+            used = used[rank]
+            blocks.append(_pack(short[x:y], place[local], at[x:y], ids[used], kind[used], n[used]))
+        return _arrow(["shard", "block"], pa.array(shard[borders].astype(np.int32)), pa.array(blocks, pa.binary()))
 
     def run(batches):
-        common = np.frombuffer(counted.value, np.uint8)
+        usual = np.frombuffer(common.value, np.uint8)
+        held, size = [], 0
         for batch in batches:
             for part in _parts(batch):
                 low, sizes = triples(part.column(2).to_pylist())
                 keep = np.flatnonzero(sizes)
                 if not len(keep):
                     continue
-                n = sizes[keep]
-                starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-                owner = np.repeat(np.arange(len(keep)), n)
-                kind = np.array(part.column(0).to_pylist())[keep].astype(np.uint64)
-                usual = common[(low % np.uint64(WIDTH)).astype(np.int64)].astype(np.uint64)
-                # triples of equal 44 bits count as one that occurs twice, which leaves the filter exact
-                order = (owner.astype(np.uint64) << np.uint64(52)) | (usual << np.uint64(44)) | (low >> np.uint64(6))
-                order.sort()
-                place = np.arange(len(low)) - np.repeat(starts, n)
-                alone = ((order >> np.uint64(44)) & np.uint64(255)) <= _ONE
-                chosen = np.flatnonzero((place < np.repeat(n // 2 + np.maximum(MEETINGS, 3 * n // LONG), n)) & ~alone)
-                cells = (order[chosen] & _CELL) | (kind[owner[chosen]] << np.uint64(52))
-                lengths = np.bincount(owner[chosen], minlength=len(keep))
-                whole = np.add.reduceat(_mix(low, 77), starts)
-                segment = np.bincount(owner * SEGMENTS + (_mix(low, 99) % np.uint64(SEGMENTS)).astype(np.int64), minlength=len(keep) * SEGMENTS)
-                # two bits a segment; cutting a count off at three keeps the distance a lower bound
-                few = np.minimum(3, segment.reshape(len(keep), SEGMENTS)).astype(np.uint8)
-                packed = (few[:, ::4] << 6) | (few[:, 1::4] << 4) | (few[:, 2::4] << 2) | few[:, 3::4]
                 rows = pa.array(keep)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(cells.view(np.int64)))
-                width = SEGMENTS // 4
-                offsets = pa.py_buffer((np.arange(len(keep) + 1, dtype=np.int32) * width).tobytes())
-                counts = pa.Array.from_buffers(pa.binary(), len(keep), [None, offsets, pa.py_buffer(packed.tobytes())])
-                skipped = np.add.reduceat(alone.astype(np.int32), starts).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(skipped), lists, counts],
-                    names=["kind", "id", "n", "class_hash", "skipped", "cells", "counts"],
-                )
-
-    return records.select("kind", "id", "text").mapInArrow(run, "kind int, id bigint, n int, class_hash bigint, skipped int, cells array<bigint>, counts binary")
-
-
-def candidates(reps: DataFrame) -> DataFrame:
-    """a, b (a < b) of all records that may share half of their triples. reps: r, n, skipped, cells."""
-    rows = reps.select("r", "n", "skipped", F.posexplode("cells").alias("pos", "cell"))
-    rows = rows.select("cell", "r", "n", (4 * (F.col("skipped") + F.col("pos")) + 2).alias("at"))
-    # a hot cell in pieces: a record goes to the pairs of its own piece with every piece, on side 0 or 1, or 2 with itself
-    usual = F.pow(F.lit(2.0), F.shiftright("cell", 44).bitwiseAND(F.lit(255)) / 8.0)
-    pieces = F.ceil(usual / HOT).cast("int")
-    own = F.pmod(F.xxhash64("r"), F.col("pieces")).cast("int")
-    hot = rows.filter(usual > HOT).withColumn("pieces", pieces).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
-    hot = hot.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "r", "n", (F.col("at") - 2 + side).alias("at"))
-    split = rows.filter(usual <= HOT).unionByName(hot)
-
-    def run(batches):
-        held, size, out, pairs = [], 0, [], 0
-        for batch in batches:
-            held.append([batch.column(i).to_numpy() for i in range(4)])
-            size += batch.num_rows
-            if size < 200_000:
-                continue
-            whole = [np.concatenate(c) for c in zip(*held)]
-            # the last cell may go on in the next batch
-            end = int(np.searchsorted(whole[0], whole[0][-1]))
-            held, size = [[c[end:] for c in whole]], len(whole[0]) - end
-            for found in _meet(*(c[:end] for c in whole)):
-                out.append(found)
-                pairs += len(found[0])
-                if pairs > 2_000_000:
-                    yield _once(out)
-                    out, pairs = [], 0
+                kind, ids, n = part.column(0).take(rows).to_numpy(), part.column(1).take(rows).to_numpy(), sizes[keep]
+                cells = _cells(low, n, kind, ids, usual)
+                held.append((kind, ids, n, *cells))
+                size += len(cells[0])
+                if size >= FLUSH:
+                    yield pack(held)
+                    held, size = [], 0
+        if size:
+            yield pack(held)
+
+    return records.select("kind", "id", "text").mapInArrow(run, "shard int, block binary")
+
+
+def candidates(cells: DataFrame, shards: int) -> DataFrame:
+    """kind, a, b (a < b) of all records that may share half of their triples, from packed cells."""
+
+    def meet(batches):
+        out, pairs, held, last = [], 0, [], None
+
+        def found():
+            short, kind, ids, n, at = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((n, short))
+            yield from _meet(short[order], kind[order], ids[order], n[order], at[order])
+
+        for shard, block in _rows(batches):
+            if held and shard != last:
+                for some in found():
+                    out.append(some)
+                    pairs += len(some[0])
+                    if pairs >= MERGE:
+                        yield from _packed_pairs(_once(out), shards)
+                        out, pairs = [], 0
+                held = []
+            last = shard
+            short, local, at, ids, kind, n = _unpack(block, 6)
+            held.append((short, kind[local], ids[local], n[local], at))
         if held:
-            out += _meet(*(np.concatenate(c) for c in zip(*held)))
+            out += list(found())
         if out:
-            yield _once(out)
+            yield from _packed_pairs(_once(out), shards)
 
-    met = split.repartition("cell").sortWithinPartitions("cell", "n").mapInArrow(run, "a bigint, b bigint, need int, times int")
-    return met.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("times").alias("times")).filter("times >= need").select("a", "b")
+    def count(batches):
+        held, last = [], None
+        for shard, block in _rows(batches):
+            if held and shard != last:
+                yield _often(held)
+                held = []
+            last = shard
+            held.append(_unpack(block, 5))
+        if held:
+            yield _often(held)
 
+    spread = lambda df: df.repartition(shards, "shard").sortWithinPartitions("shard")
+    met = spread(cells).mapInArrow(meet, "shard int, block binary")
+    return spread(met).mapInArrow(count, "kind int, a bigint, b bigint")
 
-def _meet(cell, r, n, at):
-    """The pairs (a, b, in how many cells they must meet) of rows in the order of cell and n."""
+
+def _rows(batches):
+    for batch in batches:
+        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+
+def _meet(cell, kind, r, n, at):
+    """The pairs (kind, a, b, in how many cells they must meet) of rows in the order of cell and n."""
     left, side = n - (at >> 2), at & 3
     # the shorter record of a pair still needs two thirds of its triples
     a = np.flatnonzero(3 * (left + np.maximum(MEETINGS, 3 * n // LONG) - 1) >= 2 * n)
@@ -237,29 +342,37 @@ def _meet(cell, r, n, at):
         b = a + step
         both = n[a] + n[b]
         need = np.maximum(np.minimum(MEETINGS, (both + 2) // 3), both // LONG)
-        good = (3 * (np.minimum(left[a], left[b]) + need - 1) >= both) & ((side[a] != side[b]) | (side[a] == 2)) & (r[a] != r[b])
+        good = (3 * (np.minimum(left[a], left[b]) + need - 1) >= both) & ((side[a] != side[b]) | (side[a] == 2)) & (r[a] != r[b]) & (kind[a] == kind[b])
         x, y = r[a[good]], r[b[good]]
         if len(x):
-            yield np.minimum(x, y), np.maximum(x, y), need[good]
+            yield kind[a[good]], np.minimum(x, y), np.maximum(x, y), need[good], np.ones(len(x), np.int64)
 
 
-def _once(out) -> pa.RecordBatch:
-    """Every pair once, with how often it occurs."""
-    a, b, need = (np.concatenate(c) for c in zip(*out))
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    times = np.diff(np.append(new, len(a)))
-    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(need[order][new].astype(np.int32)), pa.array(times.astype(np.int32))], names=["a", "b", "need", "times"])
+def _once(out) -> list[np.ndarray]:
+    """Every pair once: kind, a, b, need, and how often it occurs, in the order of kind, a, b."""
+    kind, a, b, need, times = (np.concatenate(c) for c in zip(*out))
+    order = np.lexsort((b, a, kind))
+    kind, a, b, need, times = kind[order], a[order], b[order], need[order], times[order]
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])]))
+    return [kind[new], a[new], b[new], np.maximum.reduceat(need, new), np.add.reduceat(times, new)]
 
 
-#: Kinds of records; only records of one kind are compared.
-KINDS = 4
+def _packed_pairs(pairs: list[np.ndarray], shards: int):
+    """Blocks of pairs by a hash of both records, so that all meetings of a pair come together."""
+    kind, a, b, need, times = pairs
+    to = (_mix(a.view(np.uint64) + _mix(b.view(np.uint64), 31), 32) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    to = to[order]
+    borders = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+    blocks = [_pack(*(c[order[x:y]] for c in (kind, a, b, need, times))) for x, y in zip(borders, [*borders[1:], len(to)])]
+    yield _arrow(["shard", "block"], pa.array(to[borders].astype(np.int32)), pa.array(blocks, pa.binary()))
 
 
-def _number() -> Column:
-    """A record's kind and id in one number."""
-    return F.col("id") * KINDS + F.col("kind")
+def _often(held) -> pa.RecordBatch:
+    """The pairs that meet as often as they must."""
+    kind, a, b, need, times = _once(held)
+    keep = times >= need
+    return _arrow(["kind", "a", "b"], pa.array(kind[keep].astype(np.int32)), pa.array(a[keep]), pa.array(b[keep]))
 
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
@@ -271,60 +384,59 @@ def _exact_sets(records: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in _parts(batch):
-                low, sizes = triples(part.column(1).to_pylist())
+                low, sizes = triples(part.column(2).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(low.view(np.int64)))], names=["r", "set"])
+                yield _arrow(["kind", "id", "set"], part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(low.view(np.int64))))
 
-    return records.select("r", "text").mapInArrow(run, "r bigint, set array<bigint>")
+    return records.select("kind", "id", "text").mapInArrow(run, "kind int, id bigint, set array<bigint>")
 
 
 def classes_and_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """records: kind (int, under KINDS), id (bigint), text.
+    """records: kind (int), id (bigint), text.
 
     Returns the copies (kind, id, rep: members of a class that do not represent it) and the links between
     representatives (kind, a, b, a < b, shared, either).
     """
     spark = records.sparkSession
-    counted = spark.sparkContext.broadcast(sketch(records))
-    prints = written(fingerprints(records, counted), "fingerprints")
+    first = written(first_look(records), "first-look")
+    prints = first.filter("block is null")
+    common = spark.sparkContext.broadcast(sketch(first))
     # the rows of a re-delivered id fall together in a class, too
     group = prints.groupBy("kind", "class_hash", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     copies = written(prints.select("kind", "class_hash", "n", "id").join(group.drop("members"), ["kind", "class_hash", "n"]).select("kind", "id", "rep").distinct(), "copies")
     others = _maybe_broadcast(written(copies.filter("id <> rep").select("kind", "id"), "others"))
-    reps = prints.join(others, ["kind", "id"], "left_anti").select(_number().alias("r"), "n", "skipped", "cells", "counts")
-    met = candidates(reps)
-    met = written(_bounded(met, reps.select("r", "n", "counts")), "met")
-    wanted = written(met.select(F.explode(F.array("a", "b")).alias("r")).distinct(), "wanted")
-    sets = written(_exact_sets(records.select("kind", "id", "text").withColumn("r", _number()).join(_maybe_broadcast(wanted), "r", "left_semi")), "sets")
-    found = _verified(met, sets)
-    kind = (F.col("a") % KINDS).cast("int").alias("kind")
-    return copies, found.select(kind, F.floor(F.col("a") / KINDS).alias("a"), F.floor(F.col("b") / KINDS).alias("b"), "shared", (F.col("both") - F.col("shared")).alias("either"))
+    texts = records.filter("text is not null").join(others, ["kind", "id"], "left_anti")
+    # about half of all triples become cells
+    shards = 1 << max(4, ((prints.agg(F.sum("n")).first()[0] or 0) // (2 * SHARD)).bit_length())
+    met = written(_bounded(candidates(packed_cells(texts, common, shards), shards), prints.join(others, ["kind", "id"], "left_anti").select("kind", "id", "n", "counts")), "met")
+    wanted = written(met.select("kind", F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    sets = written(_exact_sets(records.join(_maybe_broadcast(wanted), ["kind", "id"], "left_semi")).dropDuplicates(["kind", "id"]), "sets")
+    return copies, _verified(met, sets)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets share at least half of what is in either: a, b, shared, both."""
-    l, r = sets.alias("l"), sets.alias("r")
-    joined = pairs.join(l, F.col("a") == F.col("l.r")).join(r, F.col("b") == F.col("r.r"))
-    counted = joined.select("a", "b", F.size(F.array_intersect("l.set", "r.set")).alias("shared"), (F.size("l.set") + F.size("r.set")).alias("both"))
-    return counted.filter("3 * shared >= both").distinct()
+    """The pairs whose sets share at least half of what is in either: kind, a, b, shared, either."""
+    joined = pairs.join(sets.toDF("kind", "a", "x"), ["kind", "a"]).join(sets.toDF("kind", "b", "y"), ["kind", "b"])
+    both = F.size("x") + F.size("y")
+    counted = joined.select("kind", "a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), both.alias("both"))
+    return counted.filter("3 * shared >= both").select("kind", "a", "b", "shared", (F.col("both") - F.col("shared")).alias("either"))
 
 
 def _bounded(met: DataFrame, embedded: DataFrame) -> DataFrame:
     """The pairs whose Manhattan distance leaves a similarity of one half possible."""
-    l, r = embedded.alias("l"), embedded.alias("r")
-    pairs = met.join(l, F.col("a") == F.col("l.r")).join(r, F.col("b") == F.col("r.r"))
+    embedded = embedded.dropDuplicates(["kind", "id"])
+    pairs = met.join(embedded.toDF("kind", "a", "na", "ca"), ["kind", "a"]).join(embedded.toDF("kind", "b", "nb", "cb"), ["kind", "b"])
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int16) for i in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int16) for i in (3, 4))
             apart = sum(np.abs(((a >> k) & 3) - ((b >> k) & 3)).sum(1) for k in (0, 2, 4, 6))
-            near = pa.array(np.flatnonzero(3 * apart <= batch.column(4).to_numpy()))
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(near) for i in range(2)], names=["a", "b"])
+            near = pa.array(np.flatnonzero(3 * apart <= batch.column(5).to_numpy()))
+            yield _arrow(["kind", "a", "b"], *(batch.column(i).take(near) for i in range(3)))
 
-    columns = pairs.select("a", "b", F.col("l.counts").alias("ca"), F.col("r.counts").alias("cb"), (F.col("l.n") + F.col("r.n")).alias("both"))
-    return columns.mapInArrow(run, "a bigint, b bigint").distinct()
+    return pairs.select("kind", "a", "b", "ca", "cb", (F.col("na") + F.col("nb")).alias("both")).mapInArrow(run, "kind int, a bigint, b bigint")
 
 
 def pairs(copies: DataFrame, links: DataFrame) -> DataFrame:

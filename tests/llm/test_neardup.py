@@ -59,7 +59,7 @@ def test_distance_of_embeddings_is_a_lower_bound(spark):
 
     rows = corpus(7, 30)
     df = spark.createDataFrame(rows, SCHEMA)
-    prints = {(r.kind, r.id): (r.n, np.frombuffer(bytes(r.counts), np.uint8).astype(int)) for r in N.fingerprints(df, spark.sparkContext.broadcast(N.sketch(df))).collect()}
+    prints = {(r.kind, r.id): (r.n, np.frombuffer(bytes(r.counts), np.uint8).astype(int)) for r in N.first_look(df).filter("block is null").collect()}
     low, sizes = N.triples([r[2] for r in rows])
     ends = np.cumsum(sizes)
     sets = {(r[0], r[1]): set(low[e - s : e].tolist()) for r, s, e in zip(rows, sizes, ends)}
@@ -108,4 +108,28 @@ def test_hot_cells_are_compared_in_pieces(spark, monkeypatch):
 
 
 def test_empty(spark):
-    assert run(spark, [])== []
+    assert run(spark, []) == []
+
+
+def test_blocks_are_read_as_they_were_packed():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    arrays = [np.sort(rng.integers(0, 1 << 28, 5000)), rng.integers(0, 300, 5000), rng.integers(-(1 << 62), 1 << 62, 70), np.zeros(0, np.int64), np.array([7])]
+    for x, y in zip(arrays, N._unpack(N._pack(*arrays), len(arrays))):
+        assert x.tolist() == y.tolist()
+
+
+def test_large_ids_stay_exact(spark):
+    rows = family("a", 0, 3, 60, 28)
+    rows = [(0, (1 << 62) + 2 * i + 1, *rest) for _, i, *rest in rows] + [(1, -(1 << 62) - i, rows[i][2], "x", "y") for i in range(3)]
+    got = run(spark, rows)
+    assert len(got) == 6 and set(got) == truth(rows)
+
+
+def test_many_small_shards_give_the_same_pairs(spark, monkeypatch):
+    for name, value in (("SHARD", 40), ("FLUSH", 500), ("MERGE", 300), ("KEPT", 6)):
+        monkeypatch.setattr(N, name, value)
+    rows = corpus(6) + [(0, 5000 + i, t, *rest) for _, i, t, *rest in family("a", 0, 30, 60, 28)]
+    got = run(spark, rows)
+    assert len(got) == len(set(got)) and set(got) == truth(rows)
