@@ -200,8 +200,8 @@ def exceeds(value: Column, golden: Column, factor: float = 1.5) -> Column:
 
 
 def halved(found: Column, golden: Column) -> Column:
-    """Fewer than half of a non-empty golden list (NUM7)."""
-    return (F.size(golden) > 0) & (F.size(found) < F.size(golden) * 0.5)
+    """Fewer than half of the items of a non-empty golden list, by their numbers (NUM7)."""
+    return (golden > 0) & (found < golden * 0.5)
 
 
 def iso_instant(c: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .windows import running_before
 
 
 def total_or_zero(column: str) -> Column:
@@ -55,9 +59,31 @@ def recall_at(ranked: DataFrame, relevant: DataFrame, query: str, item: str, k:
 
 
 def tree_hash(files: DataFrame, root: str, path: str, digest: str) -> DataFrame:
-    """One hash over the records `F NUL path NUL hash LF` of each tree in path order (AGG18)."""
-    record = F.concat(F.lit("F\x00"), F.col(path), F.lit("\x00"), F.col(digest), F.lit("\n"))
-    return files.withColumn("_r", record).groupBy(root).agg(F.sha2(text_of("_r", path), 256).alias("tree_sha256"), F.count(F.lit(1)).alias("files"))
+    """One hash over the records `F NUL path NUL hash LF` of each tree in path order (AGG18).
+
+    The records of a tree are read as a sorted stream into one hash, so that a tree of any size needs no memory.
+    """
+
+    def run(batches):
+        last, sha, n, seen = None, None, 0, False
+        for batch in batches:
+            out = []
+            for k, p, d in zip(*[c.to_pylist() for c in batch.columns]):
+                if seen and k != last:
+                    out.append((last, sha.hexdigest(), n))
+                if not seen or k != last:
+                    last, sha, n, seen = k, hashlib.sha256(), 0, True
+                sha.update(f"F\0{p}\0{d}\n".encode())
+                n += 1
+            yield trees(out)
+        if seen:
+            yield trees([(last, sha.hexdigest(), n)])
+
+    def trees(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["root", "tree_sha256", "files"])
+
+    rows = files.select(F.col(root).cast("string").alias("root"), path, digest).repartition("root").sortWithinPartitions("root", path, digest)
+    return rows.mapInArrow(run, "root string, tree_sha256 string, files bigint").withColumnRenamed("root", root)
 
 
 def column_widths(cells: DataFrame, key: list[str], column: str, text: str, unit: int = 8, least: int = 112, most: int = 240) -> DataFrame:
@@ -78,8 +104,8 @@ def top(df: DataFrame, key: list[str], order: list[Column], n: int) -> DataFrame
 
 def char_budget(df: DataFrame, key: list[str], order: list[str], text: str, budget: int) -> DataFrame:
     """Lines of a page up to a number of characters, the last one cut (SRT9)."""
-    before = F.coalesce(F.sum(F.length(text)).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("_before", before).filter(F.col("_before") < budget).withColumn(text, F.expr(f"substring({text}, 1, {budget} - _before)")).drop("_before")
+    placed = running_before(df, key, order, F.coalesce(F.length(text), F.lit(0)), "_before")
+    return placed.filter(F.col("_before") < budget).withColumn(text, F.expr(f"substring({text}, 1, {budget} - _before)")).drop("_before")
 
 
 def duplicates(df: DataFrame, key: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def ordered_log(log: DataFrame, *columns: str) -> DataFrame:
     """One row per entry of a session log (the first delivery), with `pos` in order of arrival."""
@@ -104,10 +106,27 @@ def token_windows(df: DataFrame, key: str, tokens: Column, size: int = 512, over
 
 def offsets(df: DataFrame, key: list[str], order: str, text: str, separator: int = 1) -> DataFrame:
     """Byte range [start_offset, end_offset) of each page of a key, pages joined by `separator` bytes (WIN11)."""
-    by = Window.partitionBy(*key).orderBy(order)
-    size = F.octet_length(F.coalesce(F.col(text), F.lit("")))
-    start = F.coalesce(F.sum(size + separator).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
-    return df.withColumn("start_offset", start).withColumn("end_offset", start + size)
+    sized = df.withColumn("_size", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint"))
+    placed = running_before(sized, key, [order], F.col("_size") + separator, "start_offset")
+    return placed.withColumn("end_offset", F.col("start_offset") + F.col("_size")).drop("_size")
+
+
+def running_before(df: DataFrame, key: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the sum of `value` over the rows of the key before each row, also for a key of very many rows.
+
+    Rows are sorted into ranges of key and order together, so a large key lies in several tasks; a row's sum is that of the
+    ranges of its key before and that inside its range.
+    """
+    ranged = written(df.withColumn("_value", value).repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(*key, "_range").agg(F.sum("_value").alias("_sum"))
+    earlier = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_value").over(Window.partitionBy(*key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = ranged.withColumn("_inside", inside).join(sums, same)
+    return joined.withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint")).select(*df.columns, name)
 
 
 def short_refs(df: DataFrame, ident: str, order: str, length: int = 8, key: list[str] | None = None) -> DataFrame:

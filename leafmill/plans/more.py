@@ -34,7 +34,7 @@ def flt9_garbled_documents(spark, sf):
 
 @query("SELECT paper_id FROM papers WHERE paper_id NOT IN (SELECT paper_id FROM contributions WHERE type = 'method' AND paper_id IS NOT NULL) GROUP BY 1")
 def jn7_papers_without_methods(spark, sf):
-    return table(spark, sf, "papers").select("paper_id").distinct().join(table(spark, sf, "contributions").filter("type = 'method'"), "paper_id", "left_anti")
+    return table(spark, sf, "papers").select("paper_id").distinct().join(table(spark, sf, "contributions").filter("type = 'method'").select("paper_id").distinct(), "paper_id", "left_anti")
 
 
 
@@ -62,9 +62,9 @@ def num2_used_fraction(spark, sf):
 
 @query("""WITH a AS (SELECT paper_id, count(*) AS g FROM sections GROUP BY 1), b AS (SELECT paper_id, count(*) AS n FROM contributions GROUP BY 1) SELECT paper_id, coalesce(n, 0) < g * 0.5 AS halved FROM a LEFT JOIN b USING (paper_id)""")
 def num7_halved(spark, sf):
-    a = table(spark, sf, "sections").groupBy("paper_id").agg(F.collect_list("section_id").alias("golden"))
-    b = table(spark, sf, "contributions").groupBy("paper_id").agg(F.collect_list("contribution_id").alias("found"))
-    return a.join(b, "paper_id", "left").select("paper_id", X.halved(F.coalesce("found", F.array().cast("array<bigint>")), F.col("golden")).alias("halved"))
+    a = table(spark, sf, "sections").groupBy("paper_id").agg(F.count("section_id").alias("golden"))
+    b = table(spark, sf, "contributions").groupBy("paper_id").agg(F.count("contribution_id").alias("found"))
+    return a.join(b, "paper_id", "left").select("paper_id", X.halved(F.coalesce("found", F.lit(0)), F.col("golden")).alias("halved"))
 
 
 @query("SELECT source_set, CAST(count(*) AS BIGINT) AS rows FROM (SELECT 'old' AS source_set FROM contributions UNION ALL SELECT 'new' FROM sections) GROUP BY 1")
@@ -76,7 +76,7 @@ def set1_union_all(spark, sf):
 
 @query("SELECT DISTINCT paper_id FROM chunks c WHERE paper_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.paper_id = c.paper_id)")
 def set7_new_refs(spark, sf):
-    d = table(spark, sf, "documents").filter("paper_id is not null").select("paper_id")
+    d = table(spark, sf, "documents").filter("paper_id is not null").select("paper_id").distinct()
     return table(spark, sf, "chunks").filter("paper_id is not null").select("paper_id").distinct().join(d, "paper_id", "left_anti")
 
 
