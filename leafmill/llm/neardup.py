@@ -45,6 +45,8 @@ SEGMENTS, WIDTH = 128, 1 << 21
 HOT = 8192
 #: In how many cells a pair must meet: so many, or one for so many triples of both, if that is more.
 MEETINGS, LONG = 6, 96
+#: Members of a class that are paired in one task.
+PIECE = 1000
 #: Rows up to which a side is broadcast, after counting it.
 BROADCAST = 1_000_000
 WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
@@ -446,7 +448,12 @@ def pairs(copies: DataFrame, links: DataFrame) -> DataFrame:
     # every representative stands for itself and the members of its class
     members = copies.select("kind", "rep", "id").unionByName(ends.withColumn("id", F.col("rep"))).distinct()
     between = links.join(members.select("kind", F.col("rep").alias("a"), F.col("id").alias("x")), ["kind", "a"]).join(members.select("kind", F.col("rep").alias("b"), F.col("id").alias("y")), ["kind", "b"])
-    inside = copies.select("kind", "rep", F.col("id").alias("x")).join(copies.select("kind", "rep", F.col("id").alias("y")), ["kind", "rep"]).filter("x < y")
+    # the pairs of a large class are made in pieces, every piece with all members
+    pieces = copies.groupBy("kind", "rep").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
+    sized = copies.join(pieces, ["kind", "rep"])
+    left = sized.select("kind", "rep", F.col("id").alias("x"), F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece"))
+    right = sized.select("kind", "rep", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    inside = left.join(right, ["kind", "rep", "piece"]).filter("x < y")
     return between.select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).unionByName(inside.select("kind", F.col("x").alias("id_a"), F.col("y").alias("id_b")))
 
 

@@ -46,7 +46,8 @@ def test_same_pairs_as_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == truth(rows)
 
 
-def test_hot_group_of_copies_and_family(spark):
+def test_hot_group_of_copies_and_family(spark, monkeypatch):
+    monkeypatch.setattr(N, "PIECE", 7)
     rng = random.Random(9)
     base = [f"c{i}" for i in range(60)]
     rows = [(0, i, " ".join(base), "x", "y") for i in range(40)] + [(0, 100 + i, " ".join(edited(rng, base, 2)), "x", "y") for i in range(40)] + corpus(3, 20)[:0]
