@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import written
+from .storage import broadcast_if_small, written
 
 SEGMENTS, WIDTH = 128, 1 << 21
 #: A cell of more records than this by the sketch is compared in pieces of about so many.
@@ -47,8 +47,6 @@ HOT = 8192
 MEETINGS, LONG = 6, 96
 #: Members of a class that are paired in one task.
 PIECE = 1000
-#: Rows up to which a side is broadcast, after counting it.
-BROADCAST = 1_000_000
 WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
 _LOW = np.uint64((1 << 50) - 1)
 _BLOCKS = 64
@@ -377,11 +375,6 @@ def _often(held) -> pa.RecordBatch:
     return _arrow(["kind", "a", "b"], pa.array(kind[keep].astype(np.int32)), pa.array(a[keep]), pa.array(b[keep]))
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it is small. df is a written table, so counting it reads only footers."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
-
-
 def _exact_sets(records: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -406,13 +399,13 @@ def classes_and_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     # the rows of a re-delivered id fall together in a class, too
     group = prints.groupBy("kind", "class_hash", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     copies = written(prints.select("kind", "class_hash", "n", "id").join(group.drop("members"), ["kind", "class_hash", "n"]).select("kind", "id", "rep").distinct(), "copies")
-    others = _maybe_broadcast(written(copies.filter("id <> rep").select("kind", "id"), "others"))
+    others = broadcast_if_small(written(copies.filter("id <> rep").select("kind", "id"), "others"))
     texts = records.filter("text is not null").join(others, ["kind", "id"], "left_anti")
     # about half of all triples become cells
     shards = 1 << max(4, ((prints.agg(F.sum("n")).first()[0] or 0) // (2 * SHARD)).bit_length())
     met = written(_bounded(candidates(packed_cells(texts, common, shards), shards), prints.join(others, ["kind", "id"], "left_anti").select("kind", "id", "n", "counts")), "met")
     wanted = written(met.select("kind", F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    sets = written(_exact_sets(records.join(_maybe_broadcast(wanted), ["kind", "id"], "left_semi")).dropDuplicates(["kind", "id"]), "sets")
+    sets = written(_exact_sets(records.join(broadcast_if_small(wanted), ["kind", "id"], "left_semi")).dropDuplicates(["kind", "id"]), "sets")
     return copies, _verified(met, sets)
 
 
