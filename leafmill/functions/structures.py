@@ -281,6 +281,11 @@ def patched(target: pd.Series, patch: pd.Series) -> pd.Series:
 inlined_schema = _json_udf(lambda v: canonical(inlined_refs(v)))
 
 
+def passed(actual: Column, expected: Column) -> Column:
+    """Whether a case has the result that is expected of it, null included (ARR4)."""
+    return actual.eqNullSafe(expected)
+
+
 def overlaid(pages: DataFrame, formulas: DataFrame, key: list[str], text: str) -> DataFrame:
     """Pages with their accepted formulas behind the text, from top to bottom (ARR3). formulas: key, ref, latex, x1, y1, at."""
     place = F.struct(F.coalesce("y1", F.lit(0.0)).alias("y"), F.coalesce("x1", F.lit(0.0)).alias("x"), "at", "ref", "latex")

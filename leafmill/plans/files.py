@@ -249,3 +249,29 @@ def snk12_stress_summary(spark, sf):
     path = folder(spark, "summary")
     table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("samples"), F.max("value").alias("worst")).coalesce(1).write.json(path)
     return spark.read.schema("event_type string, samples bigint, worst double").json(path)
+
+
+@query("SELECT session_id, id, text IS NULL AS silent FROM session_log WHERE type IN ('reasoning', 'message')")
+def snk1_session_appends(spark, sf):
+    """Rows appended to a log whose last write was torn: what was torn stays out, what comes after is read."""
+    rows = table(spark, sf, "session_log").filter("type in ('reasoning', 'message')").select("session_id", "id", F.col("text").isNull().alias("silent"), "type")
+    path = as_log(rows.filter("type = 'message'"), "appends", '{"session_id": "s", "id": "to')
+    L.append(rows.filter("type = 'reasoning'"), path)
+    return L.typed(L.complete_lines(spark, path), "session_id string, id string, silent boolean")
+
+
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS lines FROM events GROUP BY 1")
+def ret3_torn_tails(spark, sf):
+    """Two unfinished ends, one of them a whole document but for its line feed, are no lines."""
+    path = as_log(table(spark, sf, "events").select("user_id", "event_id"), "torn", '{"user_id": -1}')
+    text_file(spark, f"{path}/other.jsonl", '{"user_id": -2')
+    return L.typed(L.complete_lines(spark, path), "user_id bigint").groupBy("user_id").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("""WITH n AS (SELECT paper_id, max_by(coalesce(venue, ''), ingested_at) AS note FROM papers GROUP BY 1) SELECT p.paper_id, epoch_us(p.ingested_at) AS "at", CASE WHEN coalesce(p.venue, '') = note THEN 'applied' ELSE 'conflict' END AS status, CASE WHEN coalesce(p.venue, '') = note THEN note || ' +' ELSE note END AS text FROM papers p JOIN n USING (paper_id)""")
+def snk9_bound_patches(spark, sf):
+    """Patches of notes, each bound to the hash of the text that it was made from: the latest venue of a paper is its note."""
+    p = table(spark, sf, "papers").withColumn("venue", F.coalesce("venue", F.lit("")))
+    notes = p.groupBy("paper_id").agg(F.max_by("venue", "ingested_at").alias("text"))
+    patches = p.select("paper_id", F.unix_micros(F.col("ingested_at").cast("timestamp")).alias("at"), F.sha2("venue", 256).alias("made_from"), F.concat("venue", F.lit(" +")).alias("new_text"))
+    return L.bound_patches(notes, patches, "paper_id").select("paper_id", "at", "status", "text")

@@ -130,11 +130,20 @@ def num8_pixels(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.pixels(F.col("l_tax"), F.col("l_discount"), F.lit(2000)).alias("px"))
 
 
-@query("SELECT event_id, ts <= TIMESTAMP '2024-02-01' - INTERVAL 10 DAY AS expired, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS iso, strftime(ts, '%Y%m%dT%H%M%S') AS stamp FROM events")
+@query("SELECT event_id, ts <= TIMESTAMP '2024-02-01' - INTERVAL 10 DAY AS expired FROM events")
 def dt2_cutoffs(spark, sf):
-    """DT2-DT4: whether an instant is past the cut, the instant as ISO text, and as a stamp of names."""
-    e = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
-    return e.select("event_id", X.expired(F.col("at"), F.lit("2024-02-01T00:00:00Z").cast("timestamp"), 10).alias("expired"), X.iso_time(F.unix_micros("at")).alias("iso"), X.stamp(F.col("at")).alias("stamp"))
+    e = table(spark, sf, "events")
+    return e.select("event_id", X.expired(F.col("ts").cast("timestamp"), F.lit("2024-02-01T00:00:00Z").cast("timestamp"), 10).alias("expired"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS iso FROM events")
+def dt3_iso_times(spark, sf):
+    return table(spark, sf, "events").select("event_id", X.iso_time(F.unix_micros(F.col("ts").cast("timestamp"))).alias("iso"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%dT%H%M%S') AS stamp FROM events")
+def dt4_stamps(spark, sf):
+    return table(spark, sf, "events").select("event_id", X.stamp(F.col("ts").cast("timestamp")).alias("stamp"))
 
 
 @query("SELECT session_id, id, sha256(input) AS sha FROM (SELECT session_id, id, '{' || array_to_string(list_transform(list_sort(json_keys(input)), lambda k: '\"' || k || '\":' || CAST(json_extract(input, k) AS VARCHAR)), ',') || '}' AS input FROM session_log WHERE input IS NOT NULL AND regexp_full_match(input, '[\\x20-\\x7E]*'))")
@@ -305,6 +314,13 @@ def arr3_overlaid_pages(spark, sf):
     return S.overlaid(pages, f, ["paper_id", "page"], "title").select("section_id", F.sha2("title", 256).alias("sha"))
 
 
+@query("SELECT o_orderkey, (o_totalprice > 100000) = (o_orderpriority IN ('1-URGENT', '2-HIGH')) AS passed FROM orders")
+def arr4_case_results(spark, sf):
+    """Orders as cases: an urgent one is expected to be dear, and passes if it is."""
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") > 100_000).alias("actual"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("expected"))
+    return o.select("o_orderkey", S.passed(F.col("actual"), F.col("expected")).alias("passed"))
+
+
 @query("SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT contains(coalesce(text, ''), 'method') THEN 'text omitted method' END, CASE WHEN NOT contains(coalesce(text, ''), 'tensor') THEN 'text omitted tensor' END, CASE WHEN coalesce(lang, '') NOT LIKE '%en%' THEN 'lang omitted en' END], lambda x: x IS NOT NULL), '; ') AS errors FROM documents")
 def arr5_fidelity(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text", "lang")

@@ -178,6 +178,16 @@ def numbered(existing: DataFrame, new: DataFrame, key: list[str], order: list[st
     return new.join(last, key, "left").withColumn("seq", (F.coalesce("_last", F.lit(0)) + place).cast("bigint")).drop("_last")
 
 
+def bound_patches(notes: DataFrame, patches: DataFrame, key: str) -> DataFrame:
+    """What becomes of notes by patches that are bound to the hash of the text they were made from (SNK9).
+
+    notes: key, text. patches: key, made_from, new_text. A patch of another text is a conflict and changes nothing.
+    """
+    rows = patches.join(notes, key)
+    fits = F.sha2("text", 256) == F.col("made_from")
+    return rows.withColumn("status", F.when(fits, "applied").otherwise("conflict")).withColumn("text", F.when(fits, F.col("new_text")).otherwise(F.col("text")))
+
+
 def linked_at(links: DataFrame, at: Column) -> DataFrame:
     """Edges to append, with one time for all of a call (SNK8); nothing for nothing."""
     return links.withColumn("linked_at", at)

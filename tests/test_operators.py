@@ -268,3 +268,44 @@ def test_empty_tables(spark):
     assert W.recent_suffix(df, ["k"], "o", "n", 5).count() == 0
     assert A.duplicates(df, ["k"]).count() == 0
     assert W.thinned(df, "k", "o", 1).count() == 0
+
+
+def test_running_sums_of_a_large_key(spark):
+    rows = [("hot", i, i % 7) for i in range(3000)] + [("cold", 1, 5), (None, 1, 2), (None, 2, 3)]
+    df = spark.createDataFrame(rows, "k string, o int, v bigint").repartition(5)
+    got = {(r.k, r.o): r.before for r in W.running_before(df, ["k"], ["o"], F.col("v"), "before").collect()}
+    assert len(got) == len(rows) and got["cold", 1] == 0 and got[None, 2] == 2
+    assert all(got["hot", i] == sum(j % 7 for j in range(i)) for i in (0, 1, 500, 1499, 2999))
+
+
+def test_numbers_over_everything(spark):
+    df = spark.range(2000).select((F.col("id") * 7 % 2003).alias("id")).repartition(6)
+    got = [r.n for r in A.global_numbers(df, "id", descending=True).orderBy(F.desc("id")).collect()]
+    assert got == list(range(1, 2001))
+
+
+def test_lines_of_files_in_splits(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        for name, end in (("whole", "\n"), ("torn", "")):
+            (tmp_path / f"{name}.jsonl").write_text("\n".join(f'{{"n": {i}, "t": "é"}}' for i in range(50)) + end)
+        (tmp_path / "only.jsonl").write_text("never finished")
+        (tmp_path / "empty.jsonl").write_text("")
+        got = {}
+        for r in L.complete_lines(spark, str(tmp_path)).collect():
+            got.setdefault(r.path.rsplit("/", 1)[-1], []).append((r.line_no, json.loads(r.line)["n"]))
+        assert sorted(got["whole.jsonl"]) == [(i, i) for i in range(50)] and sorted(got["torn.jsonl"]) == [(i, i) for i in range(49)] and set(got) == {"whole.jsonl", "torn.jsonl"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_tombstones_check_what_they_replace(spark):
+    df = spark.createDataFrame([(1, '{"a":1}'), (2, '{"a":2}'), (3, '{"a":3}'), (4, '{"a":4}')], "id int, payload string")
+    sha = lambda c: F.sha2(c, 256)
+    scan = df.filter("id < 4").select("id", F.when(F.col("id") == 2, "x").otherwise(sha("payload")).alias("original_file_sha256"), F.when(F.col("id") == 3, "x").otherwise(sha("payload")).alias("original_value_sha256"))
+    out = {r.id: r for r in V.removed(df, scan, ["id"], "payload", F.lit("2031-01-01T00:00:00Z").cast("timestamp")).collect()}
+    stone = json.loads(out[1].payload)
+    assert stone["reason"] == "retention" and stone["original_bytes"] == 7 and stone["removed_at"] == "2031-01-01T00:00:00Z" and out[1].released == 0 and out[1].fault is None
+    assert (out[2].fault, out[3].fault, out[4].fault) == ("changed", "changed", None) and out[2].payload == '{"a":2}'
+    again = V.removed(spark.createDataFrame([(1, out[1].payload)], "id int, payload string"), scan, ["id"], "payload", F.current_timestamp()).first()
+    assert again.fault == "removed" and again.payload == out[1].payload
