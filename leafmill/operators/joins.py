@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import written, written_and_counted
 
 #: Rows of a rule table up to which it is broadcast; beyond, the join is left to the optimizer.
 SMALL = 10_000
@@ -111,15 +111,15 @@ def closure(spark, links: DataFrame, source: str, target: str, starts: DataFrame
     A frontier at a time, until it is empty; what was reached is anti-joined, so every node is expanded once. A frontier
     is a table in the shared folder, so a plan does not grow with the number of steps and survives a lost executor.
     """
-    edges = links.select(F.col(source).alias("_s"), F.col(target).alias("_t")).filter("_s is not null and _t is not null").distinct()
+    edges = written(links.select(F.col(source).alias("_s"), F.col(target).alias("_t")).filter("_s is not null and _t is not null").distinct(), "edges")
     seen = starts.select(F.col(starts.columns[0]).alias("node"), F.lit(0).cast("bigint").alias("steps"))
     frontier = seen
     step = 0
     while True:
         step += 1
         reached = frontier.join(edges, frontier.node == edges["_s"]).select(F.col("_t").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        frontier = written(reached.withColumn("steps", F.lit(step).cast("bigint")), "frontier")
-        if frontier.isEmpty():
+        frontier, found = written_and_counted(reached.withColumn("steps", F.lit(step).cast("bigint")), "frontier")
+        if not found:
             return seen
         seen = seen.unionByName(frontier)
 
@@ -141,8 +141,8 @@ def inherited(spark, sessions: DataFrame, session: str, base: str) -> DataFrame:
     reach = written(one.select("s", F.col("s").alias("source"), F.lit(0).cast("bigint").alias("depth")), "reach")
     step, count = 1, one.count()
     while step <= count:
-        jump = written(jump, "jumps")
-        if jump.isEmpty():
+        jump, left = written_and_counted(jump, "jumps")
+        if not left:
             break
         farther = jump.join(reach.toDF("t", "source", "depth"), "t").select("s", "source", (F.col("depth") + step).alias("depth"))
         reach = written(reach.unionByName(farther), "reach")

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql.functions import count, lit
 
 #: Settings that the operators rely on for their results.
 SEMANTICS = {"spark.sql.session.timeZone": "UTC", "spark.sql.mapKeyDedupPolicy": "LAST_WIN"}
@@ -55,11 +56,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
     The table outlives any executor, is read with column pruning and gives the optimizer real sizes.
     """
+    return written_and_counted(df, what)[0]
+
+
+def written_and_counted(df: DataFrame, what: str) -> tuple[DataFrame, int]:
+    """A written table and its number of rows, which is counted while it is written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/leafmill-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = Observation()
+    df.observe(rows, count(lit(1)).alias("n")).write.parquet(path)
     gone_with_session(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), rows.get["n"]
 
 
 def gone_with_session(spark: SparkSession, path: str) -> None:
