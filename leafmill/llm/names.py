@@ -239,7 +239,8 @@ _TEXT, _NUMBER = pa.string(), pa.int64()
 
 
 def _met_surnames(names: DataFrame) -> DataFrame:
-    """initial, surname1, surname2 (in order) of all names that may be one with an error. names: initial, surname."""
+    """initial, surname1, surname2 (in order) of all names that may be one with an error. names: initial, surname,
+    given_length (of the longest given name: two errors are looked for only where given names can be compared)."""
 
     def index(batches):
         for batch in batches:
@@ -256,12 +257,13 @@ def _met_surnames(names: DataFrame) -> DataFrame:
             out = [(f"{i}|{c}", i, s) for i, s in zip(*[c.to_pylist() for c in batch.columns]) for c in _cut(s, 2)]
             yield _arrow(out, (_TEXT,) * 3, ["block", "initial", "surname"])
 
-    rows = written(names.mapInArrow(index, "block string, initial string, surname string, rest string"), "suffixes")
+    rows = written(names.select("initial", "surname").mapInArrow(index, "block string, initial string, surname string, rest string"), "suffixes")
     common = rows.groupBy("block").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > COMMON).select("block")
     three = "block string, initial string, surname string"
     few = rows.join(common, "block", "left_anti").select("block", "initial", "surname")
     many = rows.join(common, "block", "left_semi").mapInArrow(refine, three)
-    long = names.filter(F.length("surname") >= F.when(F.col("initial").startswith("#"), 9).otherwise(8)).mapInArrow(twice, three)
+    group = F.col("initial").startswith("#")
+    long = names.filter(F.length("surname") >= F.when(group, 9).otherwise(8)).filter(group | (F.col("given_length") > 2)).select("initial", "surname").mapInArrow(twice, three)
     blocks = written(few.unionByName(many).unionByName(long), "blocks")
     left, right = blocks.toDF("block", "initial", "surname1"), blocks.toDF("block", "initial2", "surname2").drop("initial2")
     return left.join(right, "block").filter("surname1 < surname2").select("initial", "surname1", "surname2").distinct()
@@ -293,7 +295,7 @@ def _typed(sigs: DataFrame) -> DataFrame:
             rows = pa.array([k for k, (x, y) in enumerate(pairs) if alike(x, y) or alike(y, x)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(j).take(rows) for j in (0, 1, 3, 4)], names=["initial1", "surname1", "initial2", "surname2"])
 
-    names = sigs.filter("initial <> ''").select("initial", "surname").distinct()
+    names = sigs.filter("initial <> ''").groupBy("initial", "surname").agg(F.max(F.length("given")).alias("given_length"))
     met = written(_met_surnames(names).mapInArrow(one, "initial string, surname1 string, surname2 string, sure boolean"), "surname-pairs")
     full = sigs.filter("initial <> '' and initial not like '#%' and length(given) > 2").select("initial", "surname", "given").distinct()
     # two errors in the surname: under given names that are near
