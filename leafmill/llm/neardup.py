@@ -52,7 +52,8 @@ _LOW = np.uint64((1 << 50) - 1)
 _BLOCKS = 64
 _ONE = np.uint64(8)  # a count of one as the sketch packs it
 #: Cells of one shard, bits that are kept of a cell inside it, cells that a task packs at once, pairs that it merges at once.
-SHARD, KEPT, FLUSH, MERGE = 1_000_000, 28, 1_000_000, 4_000_000
+#: A shard that turns out larger is read in parts of so many cells, or of `MERGE` pairs, so no task holds more.
+SHARD, KEPT, FLUSH, MERGE = 1_000_000, 28, 1_000_000, 2_000_000
 
 
 class _Hashes(dict):
@@ -193,6 +194,11 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
+def _parts_of(blocks: list[bytes], columns: int, most: int) -> int:
+    """In how many parts packed blocks with so many values a row are read, for about `most` rows a part."""
+    return -(-sum(int.from_bytes(b[:8], "little") for b in blocks) // (8 * columns * most)) or 1
+
+
 def _unpack(packed: bytes, count: int) -> list[np.ndarray]:
     raw = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
     head, at, out = np.frombuffer(raw, np.int64, 2 * count), 16 * count, []
@@ -205,7 +211,8 @@ def _unpack(packed: bytes, count: int) -> list[np.ndarray]:
 
 
 def _cells(low, n, kind, ids, common):
-    """cell (a hash), owner and at (four times the place, and the side of a pair of pieces) of every row of a cell."""
+    """cell (a hash), owner and at (four times the place, and the side of a pair of pieces) of every row of a cell, about
+    `FLUSH` rows at a time: a record of hot cells has many."""
     starts = np.concatenate([[0], np.cumsum(n)[:-1]])
     owner = np.repeat(np.arange(len(n)), n)
     usual = common[(low % np.uint64(WIDTH)).astype(np.int64)].astype(np.uint64)
@@ -220,13 +227,18 @@ def _cells(low, n, kind, ids, common):
     # a hot cell in pieces: a record goes to the pairs of its own piece with every piece, on side 0 or 1, or 2 with itself
     pieces = np.maximum(1, np.ceil((np.exp2(usual / 8.0) - 1) / HOT)).astype(np.int64)
     own = (_mix(ids[owner].view(np.uint64), 23) % pieces.astype(np.uint64)).astype(np.int64)
-    row = np.repeat(np.arange(len(cell)), pieces)
-    other = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    own = own[row]
-    hot = pieces[row] > 1
-    both = np.minimum(own, other) * 1_000_003 + np.maximum(own, other)
-    cell = np.where(hot, _mix(cell[row] + both.astype(np.uint64), 24), cell[row])
-    return cell, owner[row], 4 * place[row] + np.where(own < other, 0, np.where(own > other, 1, 2))
+    ends = np.cumsum(pieces)
+    start = 0
+    while start < len(cell):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + FLUSH, "right")))
+        some = pieces[start:end]
+        row = np.repeat(np.arange(start, end), some)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(some) - some, some)
+        of = own[row]
+        both = np.minimum(of, other) * 1_000_003 + np.maximum(of, other)
+        to = np.where(pieces[row] > 1, _mix(cell[row] + both.astype(np.uint64), 24), cell[row])
+        yield to, owner[row], 4 * place[row] + np.where(of < other, 0, np.where(of > other, 1, 2))
+        start = end
 
 
 def packed_cells(records: DataFrame, common, shards: int) -> DataFrame:
@@ -265,12 +277,12 @@ def packed_cells(records: DataFrame, common, shards: int) -> DataFrame:
                     continue
                 rows = pa.array(keep)
                 kind, ids, n = part.column(0).take(rows).to_numpy(), part.column(1).take(rows).to_numpy(), sizes[keep]
-                cells = _cells(low, n, kind, ids, usual)
-                held.append((kind, ids, n, *cells))
-                size += len(cells[0])
-                if size >= FLUSH:
-                    yield pack(held)
-                    held, size = [], 0
+                for cells in _cells(low, n, kind, ids, usual):
+                    held.append((kind, ids, n, *cells))
+                    size += len(cells[0])
+                    if size >= FLUSH:
+                        yield pack(held)
+                        held, size = [], 0
         if size:
             yield pack(held)
 
@@ -281,49 +293,60 @@ def candidates(cells: DataFrame, shards: int) -> DataFrame:
     """kind, a, b (a < b) of all records that may share half of their triples, from packed cells."""
 
     def meet(batches):
-        out, pairs, held, last = [], 0, [], None
-
-        def found():
-            short, kind, ids, n, at = (np.concatenate(c) for c in zip(*held))
-            order = np.lexsort((n, short))
-            yield from _meet(short[order], kind[order], ids[order], n[order], at[order])
-
-        for shard, block in _rows(batches):
-            if held and shard != last:
-                for some in found():
-                    out.append(some)
-                    pairs += len(some[0])
-                    if pairs >= MERGE:
-                        yield from _packed_pairs(_once(out), shards)
-                        out, pairs = [], 0
-                held = []
-            last = shard
-            short, local, at, ids, kind, n = _unpack(block, 6)
-            held.append((short, kind[local], ids[local], n[local], at))
-        if held:
-            out += list(found())
+        out, pairs = [], 0
+        for blocks in _shards(batches):
+            for some in _met(blocks):
+                out.append(some)
+                pairs += len(some[0])
+                if pairs >= MERGE:
+                    yield from _packed_pairs(_once(out), shards)
+                    pairs = 0
         if out:
             yield from _packed_pairs(_once(out), shards)
 
     def count(batches):
-        held, last = [], None
-        for shard, block in _rows(batches):
-            if held and shard != last:
-                yield _often(held)
-                held = []
-            last = shard
-            held.append(_unpack(block, 5))
-        if held:
-            yield _often(held)
+        for blocks in _shards(batches):
+            yield from _often(blocks)
 
     spread = lambda df: df.repartition(shards, "shard").sortWithinPartitions("shard")
     met = spread(cells).mapInArrow(meet, "shard int, block binary")
     return spread(met).mapInArrow(count, "kind int, a bigint, b bigint")
 
 
-def _rows(batches):
+def _shards(batches):
+    """The packed blocks of one shard after the other."""
+    held, last = [], None
     for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        for shard, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if held and shard != last:
+                yield held
+                held = []
+            last = shard
+            held.append(block)
+    if held:
+        yield held
+
+
+def _met(blocks: list[bytes]):
+    """The meetings in the cells of one shard. All rows of a cell are in the same part of it."""
+    parts = _parts_of(blocks, 3, SHARD)
+    for part in range(parts):
+        held = []
+        for block in blocks:
+            short, local, at, ids, kind, n = _unpack(block, 6)
+            x, y = np.searchsorted(short * parts >> KEPT, (part, part + 1))
+            local = local[x:y]
+            held.append((short[x:y].astype(np.int32), kind[local].astype(np.int32), ids[local], n[local].astype(np.int32), at[x:y].astype(np.int32)))
+        short, kind, ids, n, at = _joined(held)
+        order = np.lexsort((n, short))
+        yield from _meet(short[order], kind[order], ids[order], n[order], at[order])
+
+
+def _joined(held: list[tuple]) -> list[np.ndarray]:
+    """The columns of all pieces, which are let go."""
+    columns = [np.concatenate(c) for c in zip(*held)]
+    held.clear()
+    return columns
 
 
 def _meet(cell, kind, r, n, at):
@@ -345,16 +368,18 @@ def _meet(cell, kind, r, n, at):
         good = (3 * (np.minimum(left[a], left[b]) + need - 1) >= both) & ((side[a] != side[b]) | (side[a] == 2)) & (r[a] != r[b]) & (kind[a] == kind[b])
         x, y = r[a[good]], r[b[good]]
         if len(x):
-            yield kind[a[good]], np.minimum(x, y), np.maximum(x, y), need[good], np.ones(len(x), np.int64)
+            yield kind[a[good]], np.minimum(x, y), np.maximum(x, y), need[good], np.ones(len(x), np.int32)
 
 
 def _once(out) -> list[np.ndarray]:
-    """Every pair once: kind, a, b, need, and how often it occurs, in the order of kind, a, b."""
-    kind, a, b, need, times = (np.concatenate(c) for c in zip(*out))
-    order = np.lexsort((b, a, kind))
-    kind, a, b, need, times = kind[order], a[order], b[order], need[order], times[order]
+    """Every pair once: kind, a, b, need, and how often it occurs, in the order of kind, a, b. out is emptied."""
+    columns = _joined(out)
+    order = np.lexsort(columns[2::-1])
+    for i in range(5):
+        columns[i] = columns[i][order]
+    kind, a, b, need, times = columns
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])]))
-    return [kind[new], a[new], b[new], np.maximum.reduceat(need, new), np.add.reduceat(times, new)]
+    return [kind[new], a[new], b[new], np.maximum.reduceat(need, new), np.add.reduceat(times, new, dtype=np.int32)]
 
 
 def _packed_pairs(pairs: list[np.ndarray], shards: int):
@@ -368,11 +393,18 @@ def _packed_pairs(pairs: list[np.ndarray], shards: int):
     yield _arrow(["shard", "block"], pa.array(to[borders].astype(np.int32)), pa.array(blocks, pa.binary()))
 
 
-def _often(held) -> pa.RecordBatch:
-    """The pairs that meet as often as they must."""
-    kind, a, b, need, times = _once(held)
-    keep = times >= need
-    return _arrow(["kind", "a", "b"], pa.array(kind[keep].astype(np.int32)), pa.array(a[keep]), pa.array(b[keep]))
+def _often(blocks: list[bytes]):
+    """The pairs of one shard that meet as often as they must. All meetings of a pair are in the same part of it."""
+    parts = _parts_of(blocks, 5, MERGE)
+    for part in range(parts):
+        held = []
+        for block in blocks:
+            kind, a, b, need, times = _unpack(block, 5)
+            x = np.flatnonzero(_mix(a.view(np.uint64) + _mix(b.view(np.uint64), 31), 33) % np.uint64(parts) == part) if parts > 1 else slice(None)
+            held.append((kind[x].astype(np.int32), a[x], b[x], need[x].astype(np.int32), times[x].astype(np.int32)))
+        kind, a, b, need, times = _once(held)
+        keep = times >= need
+        yield _arrow(["kind", "a", "b"], pa.array(kind[keep]), pa.array(a[keep]), pa.array(b[keep]))
 
 
 def _exact_sets(records: DataFrame) -> DataFrame:

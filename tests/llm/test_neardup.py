@@ -134,3 +134,44 @@ def test_many_small_shards_give_the_same_pairs(spark, monkeypatch):
     rows = corpus(6) + [(0, 5000 + i, t, *rest) for _, i, t, *rest in family("a", 0, 30, 60, 28)]
     got = run(spark, rows)
     assert len(got) == len(set(got)) and set(got) == truth(rows)
+
+
+def met_of(rows, cells):
+    """The packed blocks of one shard, as a task of `packed_cells` makes them."""
+    import numpy as np
+
+    low, n = N.triples([r[2] for r in rows])
+    kind, ids = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    return [N._pack((cell >> np.uint64(64 - N.KEPT)).astype(np.int64)[o], owner[o], at[o], ids, kind, n) for cell, owner, at in cells(low, n, kind, ids) for o in [np.argsort(cell)]]
+
+
+def test_a_task_holds_a_bounded_part_of_a_large_shard(monkeypatch):
+    import numpy as np
+
+    rows = corpus(6, 60)
+    common = np.full(N.WIDTH, 100, np.uint8)  # over 5000 records in each class
+    monkeypatch.setattr(N, "HOT", 1000)
+    monkeypatch.setattr(N, "FLUSH", 500)
+    sizes = []
+
+    def cells(low, n, kind, ids):
+        for some in N._cells(low, n, kind, ids, common):
+            sizes.append(len(some[0]))
+            yield some
+
+    blocks = met_of(rows, cells)
+    assert max(sizes) <= 500 < sum(sizes)
+    whole = N._once(list(N._met(blocks)))
+    real, seen = N._meet, []
+    monkeypatch.setattr(N, "_meet", lambda cell, *rest: seen.append(len(cell)) or real(cell, *rest))
+    monkeypatch.setattr(N, "SHARD", 1000)
+    parted = N._once(list(N._met(blocks)))
+    assert len(seen) > 10 and max(seen) <= 2000 and all((x == y).all() for x, y in zip(whole, parted))
+
+    out = [tuple(c[k::3] for c in whole) for k in range(3)] * 2
+    packed = [N._pack(*c) for c in out]
+    at_once = {r for b in N._often(packed) for r in zip(*b.to_pydict().values())}
+    monkeypatch.setattr(N, "MERGE", 100)
+    parts = [list(zip(*b.to_pydict().values())) for b in N._often(packed)]
+    assert len(parts) > 5 and max(map(len, parts)) < len(at_once) and sorted(r for p in parts for r in p) == sorted(at_once)
+    assert at_once >= truth(rows)
